@@ -93,8 +93,8 @@ def _pieces(is_split: np.ndarray):
         at = to
 
 
-def word_hashes(texts, split: np.ndarray = SPLIT_WHITE, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words in order, offsets of each text's words)."""
+def word_hashes(texts, split: np.ndarray = SPLIT_WHITE, lower: bool = True, prefix: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words in order, offsets of each text's words); with prefix, of the words' first bytes."""
     buf, offsets = encode(texts)
     if lower:
         buf = LOWER[buf]
@@ -108,6 +108,8 @@ def word_hashes(texts, split: np.ndarray = SPLIT_WHITE, lower: bool = True) -> t
         start, end = edge[0::2], edge[1::2]
         if not len(start):
             continue
+        if prefix:
+            end = np.minimum(end, start + prefix)
         up, down = _POWERS.get(len(b))
         total = np.zeros(len(b) + 1, _U)
         np.cumsum(_VALUE[b] * up, out=total[1:])
