@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .store import light_batches
 
 BLOCK_WORDS = 2_000_000
 
@@ -174,6 +175,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshol
 
     The benchmark is cut into blocks by a running sum of its sizes; only one block's texts are on the driver at a time.
     """
+    light_batches(docs.sparkSession)
     bench = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     sized = bench.withColumn("n", F.length("text"))
     total = sized.agg(F.sum("n")).first()[0] or 0

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .store import light_batches
 
 WORD_BITS, PAIR_BITS = 19, 21
 WORDS, PAIRS = 1 << WORD_BITS, 1 << PAIR_BITS
@@ -75,6 +76,7 @@ def counts(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs, target(key) -> (key, n_tokens, target_loss, background_loss, difference)."""
+    light_batches(docs.sparkSession)
     ids = target.select(F.col(key).alias("k_")).where("k_ is not null").distinct()
     side = F.broadcast(ids) if ids.count() <= SMALL_SIDE else ids
     rows = docs.select(key, text).join(side.withColumn("hit_", F.lit(True)), F.col(key) == F.col("k_"), "left")

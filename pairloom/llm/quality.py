@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .store import light_batches
 
 SAMPLE = 5_000
 DIM = 1024
@@ -209,6 +210,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[np.
                 texts = part[text].tolist()
                 yield pd.DataFrame({"h": part["h"], "code": _code(votes(texts)), "x": [row.tobytes() for row in features(texts)]})
 
+    light_batches(docs.sparkSession)
     found = docs.select(text).mapInPandas(answer, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()
     if not found:
         return np.zeros(DIM), 0.0, {}

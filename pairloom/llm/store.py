@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,6 +17,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def light_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> None:
+    """Arrow batches of at most 8 MB for this session, where they may be larger: whole texts go to Python workers in such batches."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(key, "0")) or 0) not in range(1, most_bytes + 1):
+        spark.conf.set(key, str(most_bytes))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder once and read from there."""
     ensure_checkpoint_dir(df.sparkSession)

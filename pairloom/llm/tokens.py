@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import light_batches
+
 SAMPLE = 2_000
 FREQUENT = 1 << 16
 CACHE = 1 << 19
@@ -86,6 +88,7 @@ def frequent(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs -> (key, n_bytes, n_tokens, over_limit). path: a tokenizer file that every worker can open."""
     spark = docs.sparkSession
+    light_batches(docs.sparkSession)
     known = spark.sparkContext.broadcast(frequent(docs, path, key, text))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -18,12 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .store import light_batches
 
 SAMPLE = 12_000
+CHOSEN = 20_000
 BITS = 20
 GRADES = 4
 MARKER = 2.0
@@ -71,24 +73,21 @@ class Model:
         return np.diff(np.concatenate([np.zeros((len(texts), 1)), below, np.ones((len(texts), 1))], axis=1), axis=1)
 
 
-def log_odds(row: np.ndarray, feature: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, lower bound of |log odds ratio| with its sign, rows that have the feature)."""
-    ids, at = np.unique(feature, return_inverse=True)
-    a = np.bincount(at, weights=toxic[row].astype(float))
-    b = np.bincount(at) - a
-    p, q = toxic.sum(), (~toxic).sum()
-    odds = np.log((a + 0.5) / (p - a + 0.5)) - np.log((b + 0.5) / (q - b + 0.5))
-    spread = np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (p - a + 0.5) + 1 / (q - b + 0.5))
-    return ids, np.sign(odds) * np.maximum(np.abs(odds) - 1.64 * spread, 0), a + b
+def log_odds(a: Column, n: Column, p: int, q: int) -> Column:
+    """Log odds ratio of a feature that a of p toxic rows and n - a of q other rows have, drawn to 0 by 1.64 standard errors."""
+    cells = [a, F.greatest(n - a, F.lit(0)), F.greatest(F.lit(p) - a, F.lit(0)), F.greatest(F.lit(q) - n + a, F.lit(0))]
+    pt, nt, pf, nf = [c + F.lit(0.5) for c in cells]
+    odds = F.log(pt / pf) - F.log(nt / nf)
+    return F.signum(odds) * F.greatest(F.abs(odds) - 1.64 * F.sqrt(1 / pt + 1 / nt + 1 / pf + 1 / nf), F.lit(0.0))
 
 
-def fit(row: np.ndarray, feature: np.ndarray, count: np.ndarray, words: np.ndarray, toxic: np.ndarray, decay: float = 2e-3, rounds: int = 400) -> Model:
-    """words: of each row. Accelerated gradient ascent on the likelihood of the grades."""
+def fit(chosen: np.ndarray, marker: np.ndarray, row: np.ndarray, feature: np.ndarray, count: np.ndarray, words: np.ndarray, toxic: np.ndarray, decay: float = 2e-3, rounds: int = 400) -> Model:
+    """chosen, marker: sorted features; row, feature, count: entries of the rows; words: of each row.
+
+    Adam on the likelihood of the grades, as the features' frequencies differ by orders of magnitude.
+    """
     if not toxic.any() or toxic.all():
         return Model(np.zeros(0, np.int64), np.zeros(0), np.full(GRADES - 1, 40.0))
-    ids, bound, support = log_odds(row, feature, toxic)
-    chosen = ids[(np.abs(bound) > 0.7) & (support >= 3)]
-    marker = ids[(bound > MARKER) & (support >= 3)]
     is_marker = np.isin(feature, marker)
     rate = np.bincount(row[is_marker], weights=count[is_marker].astype(float), minlength=len(toxic)) / np.maximum(words, 1)
     grade = np.zeros(len(toxic), np.int64)
@@ -114,7 +113,6 @@ def fit(row: np.ndarray, feature: np.ndarray, count: np.ndarray, words: np.ndarr
             gt[j] = weight * ((du / p)[grade == j].sum() - (dl / p)[grade == j + 1].sum())
         return gw, gt
 
-    # Adam: the features' frequencies differ by orders of magnitude
     w, theta = model.weights, model.theta
     m, v = np.zeros(2 * k + GRADES - 1), np.zeros(2 * k + GRADES - 1)
     for t in range(1, rounds + 1):
@@ -126,26 +124,46 @@ def fit(row: np.ndarray, feature: np.ndarray, count: np.ndarray, words: np.ndarr
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
+    light_batches(docs.sparkSession)
     told = labels.where("toxic is not null").groupBy(F.col(key).alias("k_")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
     total = told.count()
     every = max(1, -(-total // int(0.9 * SAMPLE)))
     told = told.where(F.pmod(F.xxhash64("k_"), F.lit(every)) == 0).orderBy(F.xxhash64("k_"), "k_").limit(SAMPLE)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(key, text).join(F.broadcast(told), F.col(key) == F.col("k_")).select(key, text, "y")
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in T.chunks(batch, text):
+                row, feature, _, _ = features(part[text].tolist())
+                f, at = np.unique(feature, return_inverse=True)
+                yield pd.DataFrame({"f": f, "a": np.bincount(at, weights=part["y"].to_numpy()[row]).astype(np.int64) if len(f) else f, "n": np.bincount(at) if len(f) else f})
+
+    p = told.where("y > 0").count()
+    q = told.count() - p
+    seen = rows.mapInPandas(counted, "f long, a long, n long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("n").alias("n")).where("n >= 3")
+    found = seen.select("f", log_odds(F.col("a"), F.col("n"), p, q).alias("bound")).where("abs(bound) > 0.7").orderBy(F.abs("bound").desc(), "f").limit(CHOSEN).toPandas()
+    chosen = np.sort(found["f"].to_numpy(np.int64))
+    marker = np.sort(found.loc[found["bound"] > MARKER, "f"].to_numpy(np.int64))
+    known = docs.sparkSession.sparkContext.broadcast(chosen)
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part in T.chunks(batch, text):
                 row, feature, count, n = features(part[text].tolist())
+                keep = np.isin(feature, known.value)
+                row, feature, count = row[keep], feature[keep].astype(np.int32), count[keep].astype(np.int32)
                 cuts = np.searchsorted(row, np.arange(len(part) + 1))
-                yield pd.DataFrame({"k": part[key], "y": part["y"], "n": n, "f": [feature[a:b].astype(np.int32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], "c": [count[a:b].astype(np.int32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
+                span = list(zip(cuts[:-1], cuts[1:], strict=True))
+                yield pd.DataFrame({"k": part[key], "y": part["y"], "n": n, "f": [feature[a:b].tobytes() for a, b in span], "c": [count[a:b].tobytes() for a, b in span]})
 
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(key, text).join(F.broadcast(told), F.col(key) == F.col("k_")).select(key, text, "y")
-    rows = rows.mapInPandas(run, f"k {kind}, y int, n long, f binary, c binary").toPandas()
+    rows = rows.mapInPandas(entries, f"k {kind}, y int, n long, f binary, c binary").toPandas()
     rows = rows.sort_values(["k", "n"]).drop_duplicates("k", ignore_index=True)
     feature = np.frombuffer(b"".join(rows["f"]), np.int32).astype(np.int64)
     count = np.frombuffer(b"".join(rows["c"]), np.int32)
     row = np.repeat(np.arange(len(rows)), [len(f) // 4 for f in rows["f"]])
-    return fit(row, feature, count, rows["n"].to_numpy(), rows["y"].to_numpy(int) > 0)
+    return fit(chosen, marker, row, feature, count, rows["n"].to_numpy(), rows["y"].to_numpy(int) > 0)
 
 
 def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
