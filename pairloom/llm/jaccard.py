@@ -10,16 +10,19 @@ bit, the Hamming distance of two sketches is at most that difference. Two uses a
 * Pigeonhole join. Sizes form bands, a factor of ``RATIO`` apart; for every band sketches have
   ``parts = d_max + 1 + spare`` parts, so linked documents agree on 1 + spare parts at least. Documents join on
   (band, part number, bits of the part), the bits standing as the XOR of their positions' hashes. A document takes part
-  in its own band and in higher ones that a partner could lie in. Parts with no bit, or one, agree by chance or
-  by a common line; a document leaves them out if it has ``spare`` of them at most, as then a fuller part must agree too.
+  in its own band and in higher ones that a partner could lie in. As a partner agrees on parts - d of its parts
+  at least, a document leaves out its parts - d - 1 emptiest ones, which agree by chance or by a common line (d by its
+  own size here): in the one order of fullness and key that all follow, the last part that two linked documents share
+  is left out by neither.
 * Hamming test. A folded sketch of 512 bits stays with every document; candidate pairs whose distance
   exceeds d go before any text is read.
 
 Candidates are verified on the sets of whole texts. Only connectivity is needed, so a part shared by many documents is not
-expanded into pairs: all are compared with the part's largest fingerprint, the components so far are formed, and only
-parts that still hold several components are compared again, with 8, 64, ... representatives, until every
-pair of a part was compared or connected. Documents with equal sets are one node from the start; a task
-emits the parts of equal sets once.
+expanded into pairs: all are compared with the part's most central document, the one whose parts are shared most (the original among its
+edited copies), and the components so far are formed. Parts that still hold several components are then
+compared in full: their documents are dealt into blocks of about ``BLOCK``, and for every two blocks a task applies the Hamming test to all
+pairs of different components and lets only those pass that meet it. Documents with equal sets are one node from
+the start; a task emits the parts of equal sets once.
 
 Defined cases: null and empty texts, and texts of white space, have an empty set and link with nothing; a null id
 is never linked (component null); rows that repeat an id and text are copies of each other; other columns
@@ -38,13 +41,14 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .components import components
-from .store import cut
+from .store import cut, light_batches
 
 RATIO = 1.4
 SPARE = 0.05
 FOLD = 8  # words of 64 bits
 SMALL_SIDE = 1_000_000
 SEEN = 1 << 20
+BLOCK = 1024
 _U = np.uint64
 
 
@@ -94,22 +98,22 @@ def part_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
         most = max_difference(top, top, num, den)
         if not most:  # only equal sets link
             continue
-        spare = int(np.ceil(SPARE * (most + 1)))
-        parts = most + 1 + spare
-        part = ((s >> _U(32)) * _U(parts)) >> _U(32) if parts < 1 << 31 else s % _U(parts)
+        parts = most + 1 + int(np.ceil(SPARE * (most + 1)))
         if parts >= 1 << 31:
             raise ValueError("a document has over 10**9 words")
+        part = ((s >> _U(32)) * _U(parts)) >> _U(32)
         edge = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1))
         bits = np.bitwise_xor.reduceat(T.mix64(s ^ _U(0xA5A5A5A5)), edge)
         count = np.diff(np.concatenate((edge, [n])))
         number = part[edge]
-        empty, single = parts - len(edge), int((count == 1).sum())
-        if empty + single <= spare:
-            number, bits = number[count > 1], bits[count > 1]
-        elif empty > spare:
+        drop = parts - max_difference(n, min(top, n * den // num), num, den) - 1
+        if drop < parts - len(edge):
             missing = np.setdiff1d(np.arange(parts, dtype=_U), number)
-            number, bits = np.concatenate((number, missing)), np.concatenate((bits, np.zeros(len(missing), _U)))
-        out.append(T.mix64(bits ^ T.mix64(number + (_U(band + 1) << _U(40)))))
+            number, bits, count = np.concatenate((number, missing)), np.concatenate((bits, np.zeros(len(missing), _U))), np.concatenate((count, np.zeros(len(missing), np.int64)))
+        else:
+            drop -= parts - len(edge)
+        key = T.mix64(bits ^ T.mix64(number + (_U(band + 1) << _U(40))))
+        out.append(key[np.lexsort((key, count))[drop:]] if drop > 0 else key)
     return np.concatenate(out) if out else np.zeros(0, _U)
 
 
@@ -122,7 +126,7 @@ def nodes_of(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part in T.chunks(batch, text):
+            for part in T.chunks(batch, text, 1 << 20):
                 sets = sets_of(part[text].tolist(), k)
                 out = pd.DataFrame({"id": part[key], "n": [len(s) for s in sets], "f": [fingerprint(s) for s in sets]})
                 out[FOLDS] = np.stack([folded(s) for s in sets])
@@ -135,7 +139,7 @@ def _parts(docs: DataFrame, k: int, num: int, den: int, text: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for batch in batches:
-            for part in T.chunks(batch, text):
+            for part in T.chunks(batch, text, 1 << 20):
                 keys, owners = [], []
                 for s in sets_of(part[text].tolist(), k):
                     f = fingerprint(s)
@@ -155,7 +159,7 @@ def _parts(docs: DataFrame, k: int, num: int, den: int, text: str) -> DataFrame:
 def _sets(docs: DataFrame, k: int, text: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part in T.chunks(batch, text):
+            for part in T.chunks(batch, text, 1 << 20):
                 sets = sets_of(part[text].tolist(), k)
                 yield pd.DataFrame({"f": [fingerprint(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
 
@@ -176,6 +180,33 @@ def _linked(num: int, den: int):
     return run
 
 
+def _compared(num: int, den: int):
+    """Hamming test between two blocks of a part's documents, or within one."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        x = group[group["side"] == 0]
+        y = group[group["side"] == 1] if (group["side"] == 1).any() else None
+        if y is None and (group["i"].iloc[0] != group["j"].iloc[0] or len(x) < 2):
+            return pd.DataFrame({"a": [], "b": []})
+        y = x if y is None else y
+        names = [x[c].to_numpy() for c in ("f", "c", "n")], [y[c].to_numpy() for c in ("f", "c", "n")]
+        sx, sy = x[FOLDS].to_numpy(), y[FOLDS].to_numpy()
+        a, b = [], []
+        for i in range(len(x)):
+            f, c, n = (v[i] for v in names[0])
+            g, d, m = names[1]
+            at = np.flatnonzero((d != c) & (np.minimum(n, m) * den >= np.maximum(n, m) * num))
+            if x is y:
+                at = at[at > i]
+            if len(at):
+                at = at[np.bitwise_count(sy[at] ^ sx[i]).sum(1) <= max_difference(n, m[at], num, den)]
+                a.append(np.minimum(f, g[at]))
+                b.append(np.maximum(f, g[at]))
+        return pd.DataFrame({"a": np.concatenate(a) if a else [], "b": np.concatenate(b) if b else []})
+
+    return run
+
+
 def _verified(docs: DataFrame, nodes: DataFrame, ids: DataFrame, pairs: DataFrame, k: int, num: int, den: int, key: str, text: str) -> DataFrame:
     """Those of pairs(a, b) that link. nodes: one row per fingerprint; ids: (f, id) of one document each."""
     left = nodes.select(F.col("f").alias("a"), F.col("n").alias("na"), *[F.col(c).alias(f"x{c}") for c in FOLDS])
@@ -196,6 +227,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, ids: DataFrame, pairs: DataFram
 
 def join(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs -> (id, n, f, component): one row per document with the class f of equal sets and the component's smallest id."""
+    light_batches(docs.sparkSession)
     rows = cut(nodes_of(docs, k, key, text))
     real = rows.where("n > 0 and id is not null")
     nodes = real.groupBy("f").agg(F.max("n").alias("n"), F.min("id").alias("id"), *[F.max(c).alias(c) for c in FOLDS])
@@ -205,29 +237,25 @@ def join(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", text:
     by_key = Window.partitionBy("key")
     shared = _parts(docs.where(F.col(key).isNotNull()), k, num, den, text)
     shared = shared.withColumns({"top": F.max("f").over(by_key), "low": F.min("f").over(by_key)}).where("low < top")
-    shared = cut(shared.select("key", "f", "top").distinct())
-    size = cut(shared.groupBy("key").agg(F.count("*").alias("size")).where("size > 2"))
-
-    links, checked, depth = None, None, 1
-    pairs = shared.where("f < top").select(F.col("f").alias("a"), F.col("top").alias("b")).distinct()
-    component = None
-    while True:
-        pairs = cut(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"))
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        found = _verified(docs, nodes.drop("id"), ids, pairs, k, num, den, key, text)
-        links = cut(found if links is None else found.unionByName(component.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")))
-        component = components(links)
-        wide = size.where(F.col("size") > depth + 1)
-        held = shared.join(wide, "key").join(component, F.col("f") == F.col("node"), "left").select("key", "f", F.coalesce("component", "f").alias("c"))
-        held = cut(held)
-        mixed = held.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("key")
-        held = cut(held.join(mixed, "key"))
-        if held.isEmpty():
-            break
-        depth *= 8
-        place = F.row_number().over(Window.partitionBy("key").orderBy(F.col("f").desc()))
-        heads = held.withColumn("place", place).where(F.col("place") <= depth).select("key", F.col("f").alias("h"), F.col("c").alias("hc"))
-        pairs = held.join(heads, "key").where("f <> h and c <> hc").select(F.least("f", "h").alias("a"), F.greatest("f", "h").alias("b")).distinct()
+    shared = cut(shared.select("key", "f").distinct())
+    size = cut(shared.groupBy("key").agg(F.count("*").alias("size")))
+    central = shared.join(size, "key").groupBy("f").agg(F.sum("size").alias("w"))
+    shared = cut(shared.join(central, "f").select("key", "f", "w"))
+    top = shared.groupBy("key").agg(F.max_by("f", F.struct("w", "f")).alias("top"))
+
+    pairs = cut(shared.join(top, "key").where("f <> top").select(F.least("f", "top").alias("a"), F.greatest("f", "top").alias("b")).distinct())
+    links = cut(_verified(docs, nodes.drop("id"), ids, pairs, k, num, den, key, text))
+    component = components(links)
+
+    wide = shared.join(size.where("size > 2"), "key").join(component, F.col("f") == F.col("node"), "left").select("key", "f", F.coalesce("component", "f").alias("c"))
+    wide = cut(wide)
+    mixed = wide.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("size")).where("c1 < c2").select("key", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+    held = wide.join(mixed, "key").join(nodes.drop("id"), "f").withColumn("mine", F.pmod(F.xxhash64("f"), F.col("blocks")))
+    meet = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j"), (F.col("mine") > o).cast("int").alias("side")))
+    held = held.withColumn("m", F.explode(meet)).select("key", "f", "c", "n", *FOLDS, "m.*")
+    more = held.groupBy("key", "i", "j").applyInPandas(_compared(num, den), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+    found = _verified(docs, nodes.drop("id"), ids, cut(more), k, num, den, key, text)
+    component = components(found.unionByName(component.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")))
 
     classes = nodes.select("f", "id").join(component, F.col("f") == F.col("node"), "left").select("f", "id", F.coalesce("component", "f").alias("c"))
     first = classes.groupBy("c").agg(F.min("id").alias("component"))

@@ -20,7 +20,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def light_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> None:
     """Arrow batches of at most 8 MB for this session, where they may be larger: whole texts go to Python workers in such batches."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(re.sub(r"\D", "", spark.conf.get(key, "0")) or 0) not in range(1, most_bytes + 1):
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+    if now is None or int(now[1]) > most_bytes:
         spark.conf.set(key, str(most_bytes))
 
 
