@@ -8,7 +8,8 @@ one ordered pass over the sources by cap / weight.
 Sampling: every document of a source is taken floor(target / size) times, and the rest of the target is
 filled by whole documents in the order of a seeded hash. The order is cut by bucketed sums: hash buckets
 of about ``BUCKET`` documents are added up per source, all buckets below the one where the rest is
-reached are taken, and only that one bucket is put in order and filled document by document. No source is
+reached are taken, and only that one bucket is put in order and filled document by document; one exchange of two of its documents then brings the sum
+as near to the target as it can. No source is
 ever sorted or gathered as a whole, so a source with a third of all rows costs no more than others.
 
 Defined cases: a null text has size 0; a null source is a source of its own and comes last; rows that
@@ -81,7 +82,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
         F.struct(F.col("gap").alias("gap"), F.array().cast("array<bigint>").alias("ids")),
         lambda acc, x: F.when(x["w"] <= acc["gap"], F.struct((acc["gap"] - x["w"]).alias("gap"), F.concat(acc["ids"], F.array(x["u"])).alias("ids"))).otherwise(acc),
     )
-    chosen = chosen.select(F.col("source").alias("s"), F.explode(step["ids"]).alias("v"))
+    chosen = chosen.withColumn("fill", step)
+    # one exchange (or addition) that brings the sum nearest to the target; u = null stands for no document
+    taken = F.concat(F.array(F.struct(F.lit(None).cast("long").alias("u"), F.lit(0).cast("long").alias("w"))), F.transform(F.filter("list", lambda x: F.array_contains("fill.ids", x["u"])), lambda x: F.struct(x["u"].alias("u"), x["w"].alias("w"))))
+    left = F.filter("list", lambda x: ~F.array_contains("fill.ids", x["u"]))
+    trade = F.flatten(F.transform(left, lambda y: F.transform(taken, lambda x: F.struct(F.abs(F.col("fill.gap") - y["w"] + x["w"]).alias("off"), y["u"].alias("add"), x["u"].alias("drop")))))
+    chosen = chosen.withColumn("best", F.array_min(trade))
+    better = F.col("best.off") < F.col("fill.gap")
+    kept = F.filter("fill.ids", lambda u: ~F.coalesce(u == F.col("best.drop"), F.lit(False)))
+    ids = F.when(better, F.concat(kept, F.array("best.add"))).otherwise(F.col("fill.ids"))
+    chosen = chosen.select(F.col("source").alias("s"), F.explode(ids).alias("v"))
     rows = rows.join(chosen, F.col("source").eqNullSafe(F.col("s")) & (F.col("u") == F.col("v")) & (F.col("bucket") == F.col("cut")), "left")
     extra = (F.col("rest") > 0) & F.coalesce(F.col("bucket") < F.col("cut"), F.lit(True)) | F.col("v").isNotNull()
     rows = rows.withColumn("repetitions", (F.col("whole") + F.when(extra, 1).otherwise(0)).cast("long"))
