@@ -93,10 +93,15 @@ def alignments(records: DataFrame, min_mapq: int = 1, tags: Sequence[str] = (),
     unique = mapped & (F.col("mapq") >= min_mapq)
     minus = flag(16)
     first, last = F.col("pos"), F.col("pos") - 1 + F.col("m.algn_ref_span")
-    kept = F.create_map(*[x for name in tags for x in (F.lit(name), F.coalesce(F.try_element_at(F.transform(F.filter("tags", lambda x, name=name: x.startswith(name + ":")), lambda x: F.regexp_replace(x, r"^..:.:", "")), F.lit(1)), F.lit("")))]) if tags else F.create_map().cast("map<string,string>")
+
+    def tag_value(name: str) -> Column:
+        found = F.transform(F.filter("tags", lambda x: x.startswith(name + ":")), lambda x: F.substring(x, 6, 1 << 20))
+        return F.coalesce(F.try_element_at(found, F.lit(1)), F.lit(""))
+
+    kept = F.create_map(*[x for name in tags for x in (F.lit(name), tag_value(name))]) if tags else F.create_map().cast("map<string,string>")
     where_ = lambda a, b: F.when(~unique, F.lit(0)).when(minus, b).otherwise(a).cast("long")
     dist = lambda a, b: F.when(~mapped, F.lit(0)).when(minus, b).otherwise(a)
-    md = F.coalesce(F.try_element_at(F.transform(F.filter("tags", lambda x: x.startswith("MD:")), lambda x: F.substring(x, 6, 1 << 20)), F.lit(1)), F.lit(""))
+    md = tag_value("MD")
     algn = F.struct(
         dist(F.col("m.clip5_ref"), F.col("m.clip3_ref")).alias("dist_to_5"),
         F.col("m.query_start").alias("query_start"),
