@@ -116,11 +116,11 @@ def _windows(window: int, threshold: float):
 def _counted(threshold: float):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         x, y = group[group["side"] == 0], group[group["side"] == 1]
-        same = not len(y)
+        same = group["i"].iloc[0] == group["j"].iloc[0]
+        if not len(x) or not same and not len(y):
+            return pd.DataFrame({"node": [], "links": []})
         m = np.frombuffer(b"".join(x["unit"]), np.float64).reshape(len(x), -1)
         other = m if same else np.frombuffer(b"".join(y["unit"]), np.float64).reshape(len(y), -1)
-        if not len(m) or not len(other):
-            return pd.DataFrame({"node": [], "links": []})
         near = m @ other.T >= threshold
         if same:
             np.fill_diagonal(near, False)
