@@ -19,6 +19,8 @@ through ``scan`` untouched unless they bear the names it adds, which then replac
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,21 +108,21 @@ def spans(docs: DataFrame, **options) -> DataFrame:
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", **options) -> DataFrame:
     """docs with every span of ``spans`` replaced in its text; n_chars follows if there is one. All rows stay."""
-    names = docs.columns
-    found = spans(docs, **options).where(F.size("all") > 0).dropDuplicates(["key", "row_hash"]).select(F.col("key").alias("k_"), F.col("row_hash").alias("h_"), F.array_sort("all").alias("spans_"))
-    rows = docs.withColumn("row_", F.xxhash64("text", "source"))
-    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("k_")) & (F.col("row_") == F.col("h_")), "left")
+    own = f"x{uuid.uuid4().hex}_"  # columns of docs may bear any name
+    key, row, spans_ = own + "key", own + "row", own + "spans"
+    found = spans(docs, **options).where(F.size("all") > 0).dropDuplicates(["key", "row_hash"]).select(F.col("key").alias(key), F.col("row_hash").alias(row), F.array_sort("all").alias(spans_))
+    on = F.col("d.doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("d.text", "d.source") == F.col(row))
+    rows = docs.alias("d").join(found, on, "left")
 
     def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
+        fresh = F.concat(acc["out"], F.substring(F.col("d.text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
         return F.struct(F.greatest(acc["at"], s["end"].cast("int")).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
 
-    ints = F.transform("spans_", lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end")))
-    done = F.aggregate(ints, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    rows = rows.withColumn("text", F.when(F.col("spans_").isNull(), F.col("text")).otherwise(done))
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.when(F.col("spans_").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return rows.select(*names)
+    ints = F.transform(spans_, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end")))
+    done = F.aggregate(ints, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col("d.text"), a["at"] + 1, F.length("d.text"))))
+    text = F.when(F.col(spans_).isNull(), F.col("d.text")).otherwise(done)
+    new = {"text": text, "n_chars": F.when(F.col(spans_).isNull(), F.col("d.n_chars")).otherwise(F.length(text).cast("long")) if "n_chars" in docs.columns else None}
+    return rows.select(*[new[c].alias(c) if c in new else F.col(f"d.`{c}`") for c in docs.columns])
 
 
 NAMES = ("assign", "access", "hex", "owned")
