@@ -180,29 +180,56 @@ def _linked(num: int, den: int):
     return run
 
 
+def _near_pairs(x: dict, y: dict | None, num: int, den: int) -> tuple[list, list]:
+    """Hamming test between two blocks of a part's documents, or within one: pairs of different components that may link."""
+    a, b = [], []
+    other = x if y is None else y
+    for i in range(len(x["f"])):
+        lo = i + 1 if y is None else 0
+        n, m = x["n"][i], other["n"][lo:]
+        at = np.flatnonzero((other["c"][lo:] != x["c"][i]) & (np.minimum(n, m) * den >= np.maximum(n, m) * num))
+        if len(at):
+            at = at[np.bitwise_count(other["s"][lo:][at] ^ x["s"][i]).sum(1) <= max_difference(n, m[at], num, den)]
+        if len(at):
+            found = other["f"][lo:][at]
+            a.append(np.minimum(x["f"][i], found))
+            b.append(np.maximum(x["f"][i], found))
+    return a, b
+
+
 def _compared(num: int, den: int):
-    """Hamming test between two blocks of a part's documents, or within one."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        x = group[group["side"] == 0]
-        y = group[group["side"] == 1] if (group["side"] == 1).any() else None
-        if y is None and (group["i"].iloc[0] != group["j"].iloc[0] or len(x) < 2):
-            return pd.DataFrame({"a": [], "b": []})
-        y = x if y is None else y
-        names = [x[c].to_numpy() for c in ("f", "c", "n")], [y[c].to_numpy() for c in ("f", "c", "n")]
-        sx, sy = x[FOLDS].to_numpy(), y[FOLDS].to_numpy()
-        a, b = [], []
-        for i in range(len(x)):
-            f, c, n = (v[i] for v in names[0])
-            g, d, m = names[1]
-            at = np.flatnonzero((d != c) & (np.minimum(n, m) * den >= np.maximum(n, m) * num))
-            if x is y:
-                at = at[at > i]
-            if len(at):
-                at = at[np.bitwise_count(sy[at] ^ sx[i]).sum(1) <= max_difference(n, m[at], num, den)]
-                a.append(np.minimum(f, g[at]))
-                b.append(np.maximum(f, g[at]))
-        return pd.DataFrame({"a": np.concatenate(a) if a else [], "b": np.concatenate(b) if b else []})
+    """Rows sorted by key, i, j, side: each (key, i, j) is a pair of blocks, or one block if i = j."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+
+        def compare(rows: pd.DataFrame) -> pd.DataFrame:
+            v = {c: rows[c].to_numpy() for c in ("key", "i", "j", "side", "f", "c", "n")} | {"s": np.ascontiguousarray(rows[FOLDS].to_numpy(np.int64)).view(np.uint64)}  # counts of bits want unsigned numbers
+            new = np.ones(len(rows), bool)
+            new[1:] = (v["key"][1:] != v["key"][:-1]) | (v["i"][1:] != v["i"][:-1]) | (v["j"][1:] != v["j"][:-1])
+            edge = np.append(np.flatnonzero(new), len(rows))
+            a, b = [], []
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                part = lambda p, q: {c: v[c][p:q] for c in ("f", "c", "n", "s")}
+                if v["i"][lo] == v["j"][lo]:
+                    found = _near_pairs(part(lo, hi), None, num, den) if hi - lo > 1 else ([], [])
+                else:
+                    mid = lo + int(np.searchsorted(v["side"][lo:hi], 1))
+                    found = _near_pairs(part(lo, mid), part(mid, hi), num, den)
+                a += found[0]
+                b += found[1]
+            return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}) if a else pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            last = rows.iloc[-1]
+            open_ = ((rows["key"] == last["key"]) & (rows["i"] == last["i"]) & (rows["j"] == last["j"])).to_numpy()
+            held = rows[open_]
+            yield compare(rows[~open_])
+        if held is not None and len(held):
+            yield compare(held)
 
     return run
 
@@ -253,7 +280,8 @@ def join(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", text:
     held = wide.join(mixed, "key").join(nodes.drop("id"), "f").withColumn("mine", F.pmod(F.xxhash64("f"), F.col("blocks")))
     meet = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j"), (F.col("mine") > o).cast("int").alias("side")))
     held = held.withColumn("m", F.explode(meet)).select("key", "f", "c", "n", *FOLDS, "m.*")
-    more = held.groupBy("key", "i", "j").applyInPandas(_compared(num, den), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+    held = held.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    more = held.mapInPandas(_compared(num, den), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
     found = _verified(docs, nodes.drop("id"), ids, cut(more), k, num, den, key, text)
     component = components(found.unionByName(component.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")))
 
