@@ -196,20 +196,21 @@ class _Compiler:
         raise self.fail(node, "no such function")
 
 
-def compile_condition(condition: str, columns: list[str], types: Mapping[str, str] | None = None, functions: Mapping[str, Callable] | None = None) -> Column:
-    """The condition as a boolean column that is never null."""
+def compile_condition(condition: str, columns: list[str], types: Mapping[str, str] | None = None, functions: Mapping[str, Callable] | None = None, total: bool = True) -> Column:
+    """The condition as a boolean column; never null if ``total``. A filter needs no such guard, which would keep it from the scan."""
     try:
         tree = ast.parse(condition.strip(), mode="eval").body
     except SyntaxError as error:
         raise ConditionError(f"cannot be read: {condition}") from error
-    return F.coalesce(_Compiler(list(columns), types or {}, functions or {}).truth(tree), F.lit(False))
+    test = _Compiler(list(columns), types or {}, functions or {}).truth(tree)
+    return F.coalesce(test, F.lit(False)) if total else test
 
 
 def select(df: DataFrame, condition: str, types: Mapping[str, str] | None = None, functions: Mapping[str, Callable] | None = None) -> DataFrame:
-    return df.where(compile_condition(condition, df.columns, types, functions))
+    return df.where(compile_condition(condition, df.columns, types, functions, total=False))
 
 
 def split_by(df: DataFrame, condition: str, types: Mapping[str, str] | None = None, functions: Mapping[str, Callable] | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows that meet the condition, all others)."""
     test = compile_condition(condition, df.columns, types, functions)
-    return df.where(test), df.where(~test)
+    return select(df, condition, types, functions), df.where(~test)
