@@ -224,10 +224,11 @@ def parse(
             found, _, _ = walks.parse_molecule(*sides, walks_policy, max_molecule_size, max_inter_align_gap)
         else:
             found, _, _ = walks.parse_molecule_all(*sides, max_inter_align_gap, **more)
+        own = sams  # of a molecule with several pairs the SAM columns change sides with every pair that is flipped, and stay so
         for p in found:
-            ends, own = [p.one, p.two], sams
+            ends = [p.one, p.two]
             if flip and wrong_order(ranks, p.one, p.two, getattr(p.one, end), getattr(p.two, end)):
-                ends, own = ends[::-1], sams[::-1]
+                ends, own = ends[::-1], own[::-1]
             kind = ends[0].type + ends[1].type
             row = ["." if drop_readid else name, ends[0].chrom, getattr(ends[0], end), ends[1].chrom, getattr(ends[1], end), ends[0].strand, ends[1].strand, kind]
             if not drop_sam:
