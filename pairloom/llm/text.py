@@ -143,7 +143,7 @@ def shingles(hashes: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarra
     return out, out_offsets
 
 
-def chunks(frame, column: str, limit: int = 4 << 20):
+def chunks(frame, column: str, limit: int = 1 << 20):
     """Slices of a pandas frame whose texts sum to about ``limit`` characters; a longer text stands alone."""
     size, at = 0, 0
     lengths = [len(t) if isinstance(t, str) else 0 for t in frame[column]]
