@@ -16,6 +16,7 @@ columns are dropped.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,17 +34,26 @@ CACHE = 1 << 19
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPECIAL = "<|endoftext|>"
 #: scripts and general punctuation that all Unicode versions at hand class alike; other texts go to the library whole
-PLAIN = regex.compile(r"[\t-\r\x20-\x7E\xA0-ɏͰ-ͳΆ-ώЀ-ҁ‐-‧‰-⁞€]*")
+RANGES = "\t-\r\\x20-\x7E\xA0-\u024F\u0370-\u0373\u0386-\u03CE\u0400-\u0481\u2010-\u2027\u2030-\u205E\u20AC"
+PLAIN = re.compile(f"[{RANGES}]*")
+
+
+def _plain_pattern() -> str:
+    """The splitting pattern for PLAIN texts with letters and numbers spelt out, for the faster library."""
+    plain = regex.compile(f"[{RANGES}]")
+    inside = [c for c in map(chr, range(0x20AD)) if plain.match(c)]
+    letters, numbers = ("".join(c for c in inside if regex.match(p, c)) for p in (r"\p{L}", r"\p{N}"))
+    return PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^\\s{letters}{numbers}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]")
 
 
 class Counter8:
-    """Token counts of texts with one tokenizer; ``known`` is tier one."""
+    """Token counts of texts with one tokenizer; ``known`` is tier one. Tier two is kept in one table with a copy of it."""
 
     def __init__(self, path: str, known: dict[str, int]) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.cache = Tokenizer.from_file(path), known, {}
-        self.find = regex.compile(PATTERN).findall
+        self.tokenizer, self.known, self.table = Tokenizer.from_file(path), known, dict(known)
+        self.find = re.compile(_plain_pattern()).findall
 
     def lengths(self, words: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
@@ -55,22 +65,19 @@ class Counter8:
         if SPECIAL in text:
             parts = text.split(SPECIAL)
             total = len(parts) - 1
-        known, cache = self.known, self.cache
         for part in parts:
             words = self.find(part)
             try:
-                total += sum(map(known.__getitem__, words))
-                continue
+                total += sum(map(self.table.__getitem__, words))
             except KeyError:
-                pass
-            missed = [w for w in words if w not in known]
-            new = list({w for w in missed if w not in cache})
-            if len(cache) + len(new) > CACHE:
-                cache.clear()
-                new = list(set(missed))
-            for i in range(0, len(new), 4096):
-                cache.update(zip(new[i : i + 4096], self.lengths(new[i : i + 4096]), strict=True))
-            total += sum(map(cache.__getitem__, missed)) + sum(known[w] for w in words if w in known)
+                new = set(words).difference(self.table)
+                if len(self.table) - len(self.known) + len(new) > CACHE:
+                    self.table = dict(self.known)
+                    new = set(words).difference(self.table)
+                new = list(new)
+                for i in range(0, len(new), 4096):
+                    self.table.update(zip(new[i : i + 4096], self.lengths(new[i : i + 4096]), strict=True))
+                total += sum(map(self.table.__getitem__, words))
         return total
 
 
