@@ -9,7 +9,7 @@ classes and repeated words, square roots of their shares. The scorer judges ever
 The scorer is fitted on at most ``SAMPLE`` documents, picked by a hash of their id and text; everything else covers all
 documents.
 
-Defined cases: null and empty texts have no votes and no features and get the scorer's intercept; repeated rows score alike;
+Defined cases: texts of fewer than three words, null and empty ones among them, get the score 0.5 and are kept; repeated rows score alike;
 rows with null ids are scored; other columns pass through ``filter_documents`` untouched; an empty table gives an empty result.
 """
 
@@ -193,6 +193,14 @@ def fit_linear(x: np.ndarray, y: np.ndarray, decay: float = 1e-5, rounds: int =
     return w, float(bias)
 
 
+def judge(texts: list, w: np.ndarray, bias: float) -> np.ndarray:
+    """Scores; 0.5 for texts of fewer than three words, which nothing can be said about."""
+    x = features(texts)
+    scores = 1 / (1 + np.exp(-np.clip((x @ w + bias).astype(float), -40, 40)))
+    few = x[:, DIM - 2] ** 2 + x[:, DIM - 1] ** 2 < 2.5 / 10.5  # n / (n + 8) of n words
+    return np.where(few, 0.5, scores)
+
+
 def _code(v: np.ndarray) -> np.ndarray:
     return v.astype(np.int64) @ 3 ** np.arange(v.shape[1])
 
@@ -238,8 +246,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
         w, bias = model.value
         for batch in batches:
             for part in T.chunks(batch, text):
-                z = features(part[text].tolist()) @ w + bias
-                yield pd.DataFrame({key: part[key], "score": 1 / (1 + np.exp(-np.clip(z.astype(float), -40, 40)))})
+                yield pd.DataFrame({key: part[key], "score": judge(part[text].tolist(), w, bias)})
 
     kind = docs.schema[key].dataType.simpleString()
     out = docs.select(key, text).mapInPandas(run, f"`{key}` {kind}, score double")
@@ -255,8 +262,7 @@ def filter_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", t
     def good(texts: pd.Series) -> pd.Series:
         w, bias = model.value
         frame = pd.DataFrame({"t": texts})
-        cut = np.log(threshold / (1 - threshold))
-        parts = [pd.Series(features(part["t"].tolist()) @ w + bias >= cut, index=part.index) for part in T.chunks(frame, "t")]
+        parts = [pd.Series(judge(part["t"].tolist(), w, bias) >= threshold, index=part.index) for part in T.chunks(frame, "t")]
         return pd.concat(parts) if parts else pd.Series([], dtype=bool)
 
     return docs.where(good(F.col(text)))
