@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -523,3 +524,23 @@ def test_losses_against_plain_counts(spark):
     for i in range(3):
         assert out[i].background_loss == pytest.approx(loss(i, [t for t in range(3) if t != i]), rel=1e-5)
         assert out[i].target_loss == pytest.approx(loss(i, [t for t in (0, 2) if t != i]), rel=1e-5)
+
+
+@pytest.mark.parametrize("hot", [0, 7, 2048])
+def test_every_word_and_bigram_has_its_own_count(spark, hot):
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(x)}" for x in np.minimum(r.zipf(1.3, 400), 30_000)) + f" u{i} u{i + 1}" for i in range(120)] + ["", None, "w1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    out = {x.doc_id: x for x in language_model.score(df, spark.createDataFrame([(i,) for i in range(0, 120, 3)], "doc_id long"), hot=hot, bucket=3000, block=2000).collect()}
+    M, W = language_model.MASS, language_model.WORDS
+    of = lambda i: list(zip(["^", *(texts[i] or "").split()], (texts[i] or "").split()))
+    assert len(out) == len(texts) and out[120].n_tokens == out[121].n_tokens == 0
+    for name, train in (("background_loss", range(len(texts))), ("target_loss", range(0, 120, 3))):
+        every = [Counter(x for i in train for x in f(i)) for f in (of, lambda i: [v for v, _ in of(i)], lambda i: [w for _, w in of(i)])]
+        n = sum(every[0].values())
+        for i in (*range(0, 120, 7), 122):
+            own = [Counter(x) if i in train else Counter() for x in (of(i), [v for v, _ in of(i)], [w for _, w in of(i)])]
+            pair, hist, uni = (lambda x, j=j: every[j][x] - own[j][x] for j in range(3))
+            size = n - sum(own[0].values())
+            plain = -np.mean([np.log((pair((v, w)) + M * (uni(w) + 1) / (size + W)) / (hist(v) + M)) for v, w in of(i)])
+            assert out[i][name] == pytest.approx(plain, rel=1e-9)
