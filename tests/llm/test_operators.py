@@ -200,6 +200,24 @@ def test_near_vectors(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_no_pair_of_a_hot_label_is_missed(spark):
+    """Vectors with mutual cosine 0.8, and planted pairs just above the threshold."""
+    r = np.random.default_rng(2)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    topic, n, planted = unit(r.standard_normal(64)), 6000, 400
+    v = unit(2 * topic + unit(r.standard_normal((n, 64))))
+    away = r.standard_normal((planted, 64))
+    away = unit(away - (away * v[:planted]).sum(1, keepdims=True) * v[:planted])
+    v[n - planted :] = 0.935 * v[:planted] + np.sqrt(1 - 0.935**2) * away
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    near = v @ v.T >= 0.93
+    np.fill_diagonal(near, False)
+    got = {x.vec_id: x for x in embeddings.near_duplicates(df).collect()}
+    assert near[np.arange(planted), n - planted + np.arange(planted)].all()
+    assert [got[i].n_links for i in range(n)] == near.sum(1).tolist()
+    assert all(got[i].component_id == got[n - planted + i].component_id for i in range(planted))
+
+
 # -- 4 decontamination
 
 
