@@ -53,7 +53,7 @@ def _as_records(r: DataFrame) -> DataFrame:
 
 def _walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One molecule per order: its lines are alignments, one to four a side."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag").where("l_linenumber <= 5")
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
     part = F.floor((F.col("l_linenumber") - 1) / 2).cast("int") * 20
     mapped = F.col("l_linenumber") * 7 % 13 != F.col("l_partkey") % 13
     r = li.select(
@@ -65,7 +65,7 @@ def _walks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(mapped, F.concat(part.cast("string"), F.lit("S20M"), (60 - part).cast("string"), F.lit("S"))).otherwise("*").alias("cigar"),
         (F.col("l_linenumber") * 10_000_000_000 + F.col("l_partkey") * 100_000 + F.col("l_suppkey")).alias("n"),
     )
-    return _as_records(r.withColumn("cigar", F.regexp_replace("cigar", "^0S", "")))
+    return _as_records(r.withColumn("cigar", F.regexp_replace("cigar", "^0S|(?<=M)0S$", "")))
 
 
 _bases = lambda ops: f"CAST(coalesce(list_sum([CAST(regexp_extract(x, '[0-9]+') AS BIGINT) FOR x IN regexp_extract_all(cigar, '[0-9]+[{ops}]')]), 0) AS BIGINT)"

@@ -47,3 +47,13 @@ def test_against_sql(spark, name):
     expected = db.execute(f"select {quoted} from ({entry.oracle_sql()[name]})").fetchall()
     norm = lambda rows: sorted((tuple(float(v) if isinstance(v, (int, float)) else str(v) for v in r) for r in rows), key=repr)
     assert norm(map(tuple, got.select(*columns).collect())) == norm(expected)
+
+
+@needs_data
+def test_every_line_is_an_alignment_of_its_molecule(spark):
+    from pairloom.plans import extra
+
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet")
+    walks = extra._walks(spark, DATA)
+    assert walks.count() == lines.count()
+    assert {r.cigar for r in walks.where("cigar <> '*'").select("cigar").distinct().collect()} == {"20M60S", "20S20M40S", "40S20M20S", "60S20M"}
