@@ -19,7 +19,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import UNMAPPED_CHROM
@@ -101,7 +101,7 @@ def deduplicate(
     """df + parent_readID + route: ``nodups``, ``dups`` or ``unmapped``.
 
     parent_readID is the row that a duplicate is one of, null for other rows. ``order`` gives the order
-    that decides which row is first; it should end in a column that tells rows apart.
+    that decides which row is first; of rows that it doesn't tell apart one stays, whatever their keys.
     """
     if max_mismatch < 0:
         raise ValueError("max_mismatch must not be negative")
@@ -111,15 +111,13 @@ def deduplicate(
     place = F.struct(*order)
     spot = [*keys, "pos1", "pos2"]
     nodes = mapped(df, marker).groupBy(*spot).agg(F.min(F.struct(place.alias("place"), F.col(key).alias("first"))).alias("low"), F.count("*").alias("copies"))
-    nodes = cut(nodes.select(*spot, "low.place", "low.first", "copies", F.monotonically_increasing_id().alias("node")))
+    nodes = cut(nodes.select(*spot, "low.place", "low.first", "low", "copies", F.monotonically_increasing_id().alias("node")))
     if max_mismatch:
         cluster = components(candidate_edges(nodes, keys, max_mismatch, method))
         nodes = nodes.join(cluster, "node", "left").withColumn("component", F.coalesce("component", "node"))
         if rule == "greedy":
             linked = nodes.join(cluster.select("node"), "node", "left_semi")
             # the order inside a component as numbers, so that only numbers go to Python
-            from pyspark.sql import Window
-
             ranked = linked.select("node", "component", "pos1", "pos2", F.row_number().over(Window.partitionBy("component").orderBy("place")).alias("place"))
             heads = ranked.groupBy("component").applyInPandas(_greedy(max_mismatch, method), "node long, head long")
             nodes = nodes.join(heads, "node", "left").withColumn("head", F.coalesce("head", "node"))
@@ -127,17 +125,24 @@ def deduplicate(
             heads = nodes.groupBy("component").agg(F.min(F.struct("place", "node")).alias("low")).select("component", F.col("low.node").alias("head"))
             nodes = nodes.join(heads, "component")
         names = nodes.select(F.col("node").alias("h_"), F.col("first").alias("parent_"))
-        nodes = nodes.join(names, F.col("head") == F.col("h_")).select(*spot, "parent_")
+        nodes = nodes.join(names, F.col("head") == F.col("h_")).select(*spot, "parent_", "node", "low", "copies", (F.col("head") == F.col("node")).alias("is_head_"))
     else:
-        nodes = nodes.select(*spot, F.col("first").alias("parent_"))
+        nodes = nodes.select(*spot, F.col("first").alias("parent_"), "node", "low", "copies", F.lit(True).alias("is_head_"))
     on = [F.col(f"d.{c}").eqNullSafe(F.col(f"n.{c}")) if c not in ("chrom1", "chrom2", "pos1", "pos2") else F.col(f"d.{c}") == F.col(f"n.{c}") for c in spot]
     condition = on[0]
     for c in on[1:]:
         condition = condition & c
-    out = df.alias("d").join(nodes.alias("n"), condition, "left").select("d.*", "n.parent_")
-    dup = F.col("parent_").isNotNull() & (F.col("parent_") != F.col(key))
-    out = out.withColumn("route", F.when(F.col("parent_").isNull(), "unmapped").when(dup, "dups").otherwise("nodups"))
-    return out.withColumn("parent_readID", F.when(dup, F.col("parent_"))).drop("parent_")
+    extras = {"parent_": "n.parent_", "node_": "n.node", "low_": "n.low", "copies_": "n.copies", "is_head_": "n.is_head_"}
+    out = df.alias("d").join(nodes.alias("n"), condition, "left").select("d.*", *[F.col(c).alias(name) for name, c in extras.items()])
+    # rows equal to the first of a head in order and key are told apart by number; other rows are spread
+    out = out.withColumn("least_", F.col("is_head_") & F.struct(place.alias("place"), F.col(key).alias("first")).eqNullSafe(F.col("low_")))
+    tied = F.coalesce(F.col("least_") & (F.col("copies_") > 1), F.lit(False))
+    out = out.withColumns({"tied_": tied, "spread_": F.when(tied, F.col("node_")).otherwise(F.monotonically_increasing_id())})
+    content = F.xxhash64(*[F.col(f"`{f.name}`").cast("string") for f in df.schema.fields])
+    out = out.withColumn("number_", F.row_number().over(Window.partitionBy("tied_", "spread_").orderBy(content)))
+    dup = F.col("node_").isNotNull() & ~(F.col("least_") & (F.col("number_") == 1))
+    out = out.withColumn("route", F.when(F.col("node_").isNull(), "unmapped").when(dup, "dups").otherwise("nodups"))
+    return out.withColumn("parent_readID", F.when(dup, F.col("parent_"))).drop(*extras, "least_", "tied_", "spread_", "number_")
 
 
 def marked(df: DataFrame, sam: bool = False) -> DataFrame:

@@ -90,6 +90,16 @@ def test_dedup_options(pairs):
     assert marked.count() == pairs.count() and marked.where("route = 'dups' and pair_type <> 'DD'").count() == 0
 
 
+@pytest.mark.parametrize("rule, mismatch", [("transitive", 3), ("greedy", 3), ("transitive", 0)])
+def test_copies_that_bear_the_parents_name_are_duplicates(pairs, rule, mismatch):
+    """A table merged with itself keeps as many rows as the table alone."""
+    count = lambda df: {r.route: r["count"] for r in dedup.deduplicate(df, mismatch, rule=rule).groupBy("route").count().collect()}
+    alone, twice = count(pairs), count(pairs.unionByName(pairs))
+    assert twice["nodups"] == alone["nodups"] and twice["unmapped"] == 2 * alone["unmapped"] and sum(twice.values()) == 2 * sum(alone.values())
+    copies = dedup.deduplicate(pairs.unionByName(pairs), mismatch, rule=rule).where("route = 'dups'")
+    assert copies.where("parent_readID is null").count() == 0
+
+
 def test_dedup_of_nothing(pairs):
     assert dedup.deduplicate(pairs.where("false")).count() == 0
 
