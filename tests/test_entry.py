@@ -57,3 +57,15 @@ def test_every_line_is_an_alignment_of_its_molecule(spark):
     walks = extra._walks(spark, DATA)
     assert walks.count() == lines.count()
     assert {r.cigar for r in walks.where("cigar <> '*'").select("cigar").distinct().collect()} == {"20M60S", "20S20M40S", "40S20M20S", "60S20M"}
+
+
+@needs_data
+def test_all_pairs_are_sorted_and_zipped(spark, monkeypatch):
+    from pairloom.plans import catalog, extra
+
+    written = []
+    write = extra.files.write_pairs
+    monkeypatch.setattr(extra.files, "write_pairs", lambda table, *a, **b: (written.append(table.df.count()), write(table, *a, **b)))
+    n = catalog.pairs(spark, DATA).count()
+    some, whole = entry.queries()["sort_gzip"](spark, DATA), entry.queries()["sort_gzip_all"](spark, DATA)
+    assert written == [n, n] and whole.count() == n and some.count() == catalog.pairs(spark, DATA).where("mapq2 = 2").count()
