@@ -95,7 +95,7 @@ def alignments(records: DataFrame, min_mapq: int = 1, tags: Sequence[str] = (),
     first, last = F.col("pos"), F.col("pos") - 1 + F.col("m.algn_ref_span")
 
     def tag_value(name: str) -> Column:
-        found = F.transform(F.filter("tags", lambda x: x.startswith(name + ":")), lambda x: F.substring(x, 6, 1 << 20))
+        found = F.transform(F.filter("tags", lambda x: x.startswith(name + ":")), lambda x: F.substring(x, F.lit(6), F.length(x)))
         return F.coalesce(F.try_element_at(found, F.lit(1)), F.lit(""))
 
     kept = F.create_map(*[x for name in tags for x in (F.lit(name), tag_value(name))]) if tags else F.create_map().cast("map<string,string>")

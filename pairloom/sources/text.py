@@ -56,8 +56,12 @@ def lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 
 def read_header(spark: SparkSession, path: str, most: int = 1_000_000) -> Header:
-    """The leading # lines of one file; at most ``most`` of them."""
-    return Header.parse(r["value"] for r in spark.read.text(path, lineSep="\n").where("value like '#%'").limit(most).collect())
+    """The leading # lines of one file; more than ``most`` of them raise."""
+    found = spark.read.text(path, lineSep="\n").where("value like '#%'").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} header lines: {path}")
+    return Header.parse(r["value"] for r in found)
+
 
 
 def body(text: DataFrame, columns: Sequence[str], types: Mapping[str, str] | None = None, value: str = "value", keep: Sequence[str] = ()) -> DataFrame:

@@ -2,6 +2,7 @@ import gzip
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from pairloom.operators import order
 from pairloom.sources import sam, text
@@ -122,3 +123,19 @@ def test_bam_equals_sam(spark, tmp_path):
     from_text = sam.read_sam(spark, write(tmp_path / "a.sam", lines)).drop("place")
     assert sorted(map(tuple, sam.read_bam(spark, str(tmp_path / "a.bam")).drop("place").collect())) == sorted(map(tuple, from_text.collect()))
     assert sam.read_sam_header(spark, str(tmp_path / "a.sam")) == ["@SQ\tSN:chr1\tLN:100"]
+
+
+def test_a_header_beyond_the_bound_is_refused(spark, tmp_path):
+    path = write(tmp_path / "long.pairs", "#a\n#b\n#columns: readID\n")
+    assert text.read_header(spark, path, most=3).columns
+    with pytest.raises(ValueError):
+        text.read_header(spark, path, most=2)
+
+
+def test_long_tags_are_read_whole(spark):
+    from pairloom.operators import molecules
+    from pairloom.plans import extra
+
+    r = extra._as_records(spark.createDataFrame([(1, 64, "chr1", 5, 60, "20M", 1)], "k long, flag int, rname string, pos long, mapq int, cigar string, n long"))
+    r = r.withColumn("tags", F.array(F.concat(F.lit("MD:Z:"), F.repeat(F.lit("1"), (1 << 20) + 7))))
+    assert molecules.alignments(r, tags=["MD"]).select(F.length(F.col("algn.tags")["MD"])).first()[0] == (1 << 20) + 7
