@@ -239,8 +239,7 @@ class _Run:
 
     def filterbycov(self) -> None:
         o, t = self.o, self.read()
-        df = t.df.withColumn("key_", F.monotonically_increasing_id())
-        routed = coverage.filter_by_coverage(df, o.max_cov, o.max_dist, "key_", o.method, mark_multi=o.mark_multi).drop("key_")
+        routed = coverage.filter_by_coverage(t.df, o.max_cov, o.max_dist, o.method, mark_multi=o.mark_multi)
         self._routes(routed, t.header, {"low": o.output, "high": o.output_highcov, "unmapped": o.output_unmapped})
 
     def stats(self) -> None:

@@ -147,6 +147,5 @@ def deduplicate(
 
 def marked(df: DataFrame, sam: bool = False) -> DataFrame:
     """The routed table with duplicates marked: pair_type DD, with ``sam`` their SAM records too."""
-    dups = df.where("route = 'dups'")
-    dups = mark_duplicates(dups) if sam else dups.withColumn("pair_type", F.lit("DD"))
-    return df.where("route <> 'dups'").unionByName(dups)
+    dup = F.col("route") == "dups"
+    return mark_duplicates(df, dup) if sam else df.withColumn("pair_type", F.when(dup, "DD").otherwise(F.col("pair_type")))

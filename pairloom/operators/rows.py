@@ -85,10 +85,10 @@ def _mark_sam(sam: Column) -> Column:
     return F.array_join(F.transform(F.split(sam, RECORD_SEP, -1), mark), RECORD_SEP)
 
 
-def mark_duplicates(df: DataFrame) -> DataFrame:
-    """pair_type DD, and the SAM records, where there are any, flagged as duplicates."""
+def mark_duplicates(df: DataFrame, where: Column | None = None) -> DataFrame:
+    """pair_type DD, and the SAM records, where there are any, flagged as duplicates; only of the rows where ``where`` holds."""
     changes = {"pair_type": F.lit("DD")} | {c: _mark_sam(F.col(c)) for c in ("sam1", "sam2") if c in df.columns}
-    return df.withColumns(changes)
+    return df.withColumns(changes if where is None else {c: F.when(where, new).otherwise(F.col(c)) for c, new in changes.items()})
 
 
 def split_pairs(df: DataFrame) -> DataFrame:

@@ -150,12 +150,13 @@ FROM pairs p LEFT JOIN v a ON p.chrom1 = a.chrom AND p.pos1 >= a.s AND p.pos1 <
 )
 
 # coverage
-_cov = lambda d: f"""{P}, e AS (SELECT readID, 1 AS side, chrom1 AS c, pos1 AS p FROM pairs WHERE {MAPPED} UNION ALL SELECT readID, 2, chrom2, pos2 FROM pairs WHERE {MAPPED}),
-n AS (SELECT readID, side, count(*) OVER (PARTITION BY c ORDER BY p RANGE BETWEEN {d} PRECEDING AND {d} FOLLOWING) - 1 AS n FROM e),
-cov AS (SELECT readID, max(n) FILTER (side = 1) AS cov1, max(n) FILTER (side = 2) AS cov2 FROM n GROUP BY readID)"""
-simple("filterbycov_counts", lambda d: coverage.coverage(d, 5), f"{_cov(5)} SELECT readID, cov1, cov2, greatest(cov1, cov2) + 1 AS coverage FROM cov")
-simple("filterbycov_sum", lambda d: coverage.coverage(d, 2, method="sum"), f"{_cov(2)} SELECT readID, cov1, cov2, cov1 + cov2 + 1 AS coverage FROM cov")
-simple("filterbycov_route", lambda d: coverage.filter_by_coverage(d, 90, 5).select("readID", "route"), f"{_cov(5)} SELECT p.readID, CASE WHEN cov1 IS NULL THEN 'unmapped' WHEN greatest(cov1, cov2) + 1 > 90 THEN 'high' ELSE 'low' END AS route FROM pairs p LEFT JOIN cov USING (readID)")
+# every pair by a number of its own, as names may repeat
+_cov = lambda d: f"""WITH pairs AS (SELECT row_number() OVER () AS row, * FROM ({PAIRS_SQL})), e AS (SELECT row, 1 AS side, chrom1 AS c, pos1 AS p FROM pairs WHERE {MAPPED} UNION ALL SELECT row, 2, chrom2, pos2 FROM pairs WHERE {MAPPED}),
+n AS (SELECT row, side, count(*) OVER (PARTITION BY c ORDER BY p RANGE BETWEEN {d} PRECEDING AND {d} FOLLOWING) - 1 AS n FROM e),
+cov AS (SELECT row, max(n) FILTER (side = 1) AS cov1, max(n) FILTER (side = 2) AS cov2 FROM n GROUP BY row)"""
+simple("filterbycov_counts", lambda d: coverage.coverage(d, 5), f"{_cov(5)} SELECT readID, cov1, cov2, greatest(cov1, cov2) + 1 AS coverage FROM cov JOIN pairs USING (row)")
+simple("filterbycov_sum", lambda d: coverage.coverage(d, 2, method="sum"), f"{_cov(2)} SELECT readID, cov1, cov2, cov1 + cov2 + 1 AS coverage FROM cov JOIN pairs USING (row)")
+simple("filterbycov_route", lambda d: coverage.filter_by_coverage(d, 90, 5).select("readID", "route"), f"{_cov(5)} SELECT p.readID, CASE WHEN cov1 IS NULL THEN 'unmapped' WHEN greatest(cov1, cov2) + 1 > 90 THEN 'high' ELSE 'low' END AS route FROM pairs p LEFT JOIN cov USING (row)")
 
 # duplicates
 _place = "row_number() OVER (ORDER BY chrom1, chrom2, pos1, pos2, pair_type, readID)"

@@ -135,6 +135,15 @@ def test_coverage(pairs, method):
     routed = coverage.filter_by_coverage(pairs, 20, 4, method=method, mark_multi=True).collect()
     assert len(routed) == pairs.count()
     assert all((r.route == "high") == (r.readID in got and got[r.readID].coverage > 20) for r in routed)
+    assert all(r.pair_type == "DD" for r in routed if r.route == "high")
+
+
+def test_coverage_counts_rows_not_names(spark):
+    """Pairs of one molecule share a name; each is counted by its own places."""
+    data = [("x", "chr1", 10, "chr1", 900, "+", "+", "UU"), ("x", "chr3", 5, "chr3", 70, "+", "+", "UU"), ("y", "chr3", 5, "chr3", 500, "+", "+", "UU"), ("x", "!", 0, "chr1", 10, "-", "+", "NU"), ("y", "chr3", 5, "chr3", 500, "+", "+", "UU")]
+    df = spark.createDataFrame(data, "readID string, chrom1 string, pos1 long, chrom2 string, pos2 long, strand1 string, strand2 string, pair_type string")
+    got = sorted((r.readID, r.chrom1, r.pos2, r.route) for r in coverage.filter_by_coverage(df, 2, 3).collect())
+    assert got == [("x", "!", 10, "unmapped"), ("x", "chr1", 900, "low"), ("x", "chr3", 70, "high"), ("y", "chr3", 500, "high"), ("y", "chr3", 500, "high")]
 
 
 def test_fragments(spark, pairs):
