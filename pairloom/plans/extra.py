@@ -12,6 +12,7 @@ from ..operators import graph, molecules, order, walks
 from ..sources import text as files
 from ..sources.header import Header
 from ..streaming import pairs as streams
+from . import walk_sql
 from .catalog import MAPPED, PAIRS_SQL, P, pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,12 +88,12 @@ j AS (SELECT x.*, y.chrom AS chrom_b, y.p AS p_b, y.strand AS strand_b, y.t AS t
 query("parse_pairs", f"""WITH {_A} SELECT readID, CASE WHEN w THEN chrom_b ELSE chrom END AS chrom1, CASE WHEN w THEN p_b ELSE p END AS pos1, CASE WHEN w THEN chrom ELSE chrom_b END AS chrom2, CASE WHEN w THEN p ELSE p_b END AS pos2,
 CASE WHEN w THEN strand_b ELSE strand END AS strand1, CASE WHEN w THEN strand ELSE strand_b END AS strand2, CASE WHEN w THEN t_b || t ELSE t || t_b END AS pair_type FROM j""")(lambda spark, d: molecules.parse(_records(spark, d), CHROMS, drop_sam=True))
 for policy in walks.POLICIES:
-    query(f"walk_policy_{policy}")(lambda spark, d, policy=policy: molecules.parse(_walks(spark, d), CHROMS, walks_policy=policy, min_mapq=10, drop_sam=True, add_pair_index=True))
-query("walk_rescue")(lambda spark, d: molecules.parse(_walks(spark, d), CHROMS, walks_policy="mask", min_mapq=10, drop_sam=True, add_pair_index=True).where("pair_type like '%R%'"))
-query("walk_expand")(lambda spark, d: molecules.parse(_walks(spark, d), CHROMS, mode="parse2", flip=False, min_mapq=10, drop_sam=True, add_pair_index=True, expanded=True, depth=2))
-query("walk_junction")(lambda spark, d: molecules.parse(_walks(spark, d), CHROMS, mode="parse2", flip=False, min_mapq=10, drop_sam=True, add_pair_index=True, position="junction", orientation="junction"))
-query("parse_gaps")(lambda spark, d: molecules.parse(_walks(spark, d), CHROMS, walks_policy="5any", min_mapq=10, drop_sam=True, add_columns=["algn_idx", "same_side_algn_count", "dist_to_5"]))
-query("parsed_alignments")(lambda spark, d: molecules.parsed_alignments(_walks(spark, d)))
+    query(f"walk_policy_{policy}", walk_sql.policy(policy))(lambda spark, d, policy=policy: molecules.parse(_walks(spark, d), CHROMS, walks_policy=policy, min_mapq=10, drop_sam=True, add_pair_index=True))
+query("walk_rescue", f"SELECT * FROM ({walk_sql.policy('mask')}) WHERE contains(pair_type, 'R')")(lambda spark, d: molecules.parse(_walks(spark, d), CHROMS, walks_policy="mask", min_mapq=10, drop_sam=True, add_pair_index=True).where("pair_type like '%R%'"))
+query("walk_expand", walk_sql.every(walk_sql.OUTER, walk_sql.OUTER, 2))(lambda spark, d: molecules.parse(_walks(spark, d), CHROMS, mode="parse2", flip=False, min_mapq=10, drop_sam=True, add_pair_index=True, expanded=True, depth=2))
+query("walk_junction", walk_sql.every(walk_sql.JUNCTION, walk_sql.JUNCTION))(lambda spark, d: molecules.parse(_walks(spark, d), CHROMS, mode="parse2", flip=False, min_mapq=10, drop_sam=True, add_pair_index=True, position="junction", orientation="junction"))
+query("parse_gaps", walk_sql.GAPS)(lambda spark, d: molecules.parse(_walks(spark, d), CHROMS, walks_policy="5any", min_mapq=10, drop_sam=True, add_columns=["algn_idx", "same_side_algn_count", "dist_to_5"]))
+query("parsed_alignments", walk_sql.LINES)(lambda spark, d: molecules.parsed_alignments(_walks(spark, d)))
 
 
 # -- files
