@@ -15,9 +15,8 @@ output is bounded by the number of nodes, however deep the sequencing. Two rules
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,23 +68,32 @@ def candidate_edges(nodes: DataFrame, keys: Sequence[str], max_mismatch: int = 3
 
 
 def _greedy(max_mismatch: int, method: str):
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("place", kind="stable", ignore_index=True)
-        p, q = group["pos1"].to_numpy(), group["pos2"].to_numpy()
-        node = group["node"].to_numpy()
-        parent = node.copy()
-        kept: list[int] = []
-        for i in range(len(group)):
-            k = np.array(kept, np.int64)
-            a, b = np.abs(p[k] - p[i]), np.abs(q[k] - q[i])
-            near = np.flatnonzero((np.maximum(a, b) if method == "max" else a + b) <= max_mismatch)
-            if len(near):
-                parent[i] = node[k[near[0]]]
-            else:
-                kept.append(i)
-        return pd.DataFrame({"node": node, "head": parent})
-
-    return fold
+    """Rows sorted by component and order to (node, head): the first kept row that matches, or the node itself.
+
+    Kept rows are listed by grid cells of side max_mismatch + 1, of which one holds few, as they don't match one another: a row looks at nine cells.
+    """
+    side = max_mismatch + 1
+    around = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+
+    def near(p: int, q: int) -> bool:
+        return (max(p, q) if method == "max" else p + q) <= max_mismatch
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, kept, count = None, {}, 0
+        for batch in batches:
+            heads = []
+            for component, node, p, q in zip(*(batch[c].tolist() for c in ("component", "node", "pos1", "pos2")), strict=True):
+                if component != current:
+                    current, kept, count = component, {}, 0
+                x, y = p // side, q // side
+                found = [(n, k) for i, j in around for n, k, a, b in kept.get((x + i, y + j), ()) if near(abs(a - p), abs(b - q))]
+                heads.append(min(found)[1] if found else node)
+                if not found:
+                    kept.setdefault((x, y), []).append((count, node, p, q))
+                    count += 1
+            yield pd.DataFrame({"node": batch["node"], "head": heads})
+
+    return run
 
 
 def deduplicate(
@@ -117,9 +125,8 @@ def deduplicate(
         nodes = nodes.join(cluster, "node", "left").withColumn("component", F.coalesce("component", "node"))
         if rule == "greedy":
             linked = nodes.join(cluster.select("node"), "node", "left_semi")
-            # the order inside a component as numbers, so that only numbers go to Python
-            ranked = linked.select("node", "component", "pos1", "pos2", F.row_number().over(Window.partitionBy("component").orderBy("place")).alias("place"))
-            heads = ranked.groupBy("component").applyInPandas(_greedy(max_mismatch, method), "node long, head long")
+            ordered = linked.select("node", "component", "pos1", "pos2", "place").repartition("component").sortWithinPartitions("component", "place")
+            heads = ordered.select("component", "node", "pos1", "pos2").mapInPandas(_greedy(max_mismatch, method), "node long, head long")
             nodes = nodes.join(heads, "node", "left").withColumn("head", F.coalesce("head", "node"))
         else:
             heads = nodes.groupBy("component").agg(F.min(F.struct("place", "node")).alias("low")).select("component", F.col("low.node").alias("head"))

@@ -1,116 +1,71 @@
 """Positions looked up in restriction fragments and regions.
 
-Both sets of intervals come from small files (a genome has some millions of fragments), given as a table; their
-number is checked. Up to ``LITERAL`` bounds they become one array per chromosome, joined by a broadcast of that checked size and searched by
-bisection inside the row; beyond that, an equi-join on (chromosome, bin) finds the few intervals of a bin.
+Both are intervals that don't overlap. Each is listed in every bin of a power of two that it reaches, and a position meets the
+intervals of its own bin in an equi-join. Bins are about as wide as the mean interval, so the list is about twice as long as the table, and a
+bin holds a few intervals, ``2**bits`` at most. A list of up to ``BROADCAST`` rows is broadcast; a longer one is shuffled, as Spark decides.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import UNANNOTATED_FRAGMENT, UNMAPPED_CHROM
 
-LITERAL = 4_000_000
-BIN_BITS = 16
-
+#: rows of a broadcast list, some 60 bytes each
+BROADCAST = 500_000
 
-def upper_bound(bounds: Column, value: Column) -> Column:
-    """Number of elements of the sorted array that are <= value, by bisection (32 halvings)."""
-    start = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
 
-    def halve(s: Column, _: Column) -> Column:
-        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        below = F.get(bounds, mid) <= value
-        open_ = s["lo"] < s["hi"]
-        return F.struct(F.when(open_ & below, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & ~below, mid).otherwise(s["hi"]).alias("hi"))
+def _listed(table: DataFrame) -> tuple[DataFrame, int]:
+    """table(chrom, lo, hi, ...) -> the same by bin, and the bins' bits; small enough lists are marked for broadcast."""
+    n, length = table.agg(F.count("*"), F.sum(F.greatest(F.col("hi") - F.col("lo"), F.lit(1)))).first()
+    bits = max(0, math.ceil(math.log2(length / n))) if n else 0
+    out = table.where("hi > lo").withColumn("bin", F.explode(F.sequence(F.shiftright("lo", bits), F.shiftright(F.col("hi") - 1, bits))))
+    return (F.broadcast(out) if 3 * n <= BROADCAST else out), bits
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, halve)["lo"]
 
-
-def fragment_bounds(fragments: DataFrame) -> DataFrame:
-    """fragments(chrom, start, end) -> (chrom, bounds): 0 and all ends + 1; only ends count, as fragments tile a chromosome."""
-    return fragments.groupBy("chrom").agg(F.concat(F.array(F.lit(0).cast("long")), F.array_sort(F.collect_list((F.col("end") + 1).cast("long")))).alias("bounds"))
+def _found(df: DataFrame, side: int, listed: DataFrame, bits: int) -> DataFrame:
+    """df + the columns of the interval that holds the side's position, under names with x_ before them; nulls if none does."""
+    t = listed.select(*[F.col(c).alias(f"x_{c}") for c in listed.columns])
+    pos = F.col(f"pos{side}").cast("long")
+    on = (F.col(f"chrom{side}") == F.col("x_chrom")) & (F.shiftright(pos, bits) == F.col("x_bin")) & (pos >= F.col("x_lo")) & (pos < F.col("x_hi"))
+    return df.join(t, on, "left")
 
 
 def annotate_fragments(df: DataFrame, fragments: DataFrame) -> DataFrame:
     """rfrag1, rfrag_start1, rfrag_end1 and the same for side 2; -1, 0, 0 for unmapped sides and unknown chromosomes.
 
-    A position beyond the last fragment belongs to the last one.
+    fragments(chrom, start, end): only ends count, as fragments tile a chromosome; a fragment's bounds are the end before it + 1 (0 for the
+    first) and its own end + 1. A position beyond the last fragment belongs to the last one.
     """
-    if fragments.count() > LITERAL:
-        return _annotate_by_bin(df, fragments)
-    bounds = F.broadcast(fragment_bounds(fragments))
-    for side in (1, 2):
-        df = df.join(bounds.select(F.col("chrom").alias("c_"), F.col("bounds").alias("b_")), F.col(f"chrom{side}") == F.col("c_"), "left")
-        at = F.greatest(F.least(upper_bound(F.col("b_"), F.col(f"pos{side}")) - 1, F.size("b_") - 2), F.lit(0))
-        known = F.col("b_").isNotNull() & (F.col(f"chrom{side}") != UNMAPPED_CHROM)
-        df = df.withColumn("at_", F.when(known, at).otherwise(F.lit(None)))
-        df = df.withColumns(
-            {
-                f"rfrag{side}": F.coalesce(F.col("at_"), F.lit(UNANNOTATED_FRAGMENT)).cast("long"),
-                f"rfrag_start{side}": F.coalesce(F.get("b_", F.col("at_")), F.lit(0)).cast("long"),
-                f"rfrag_end{side}": F.coalesce(F.get("b_", F.col("at_") + 1), F.lit(0)).cast("long"),
-            }
-        ).drop("c_", "b_", "at_")
-    return df
-
-
-def _annotate_by_bin(df: DataFrame, fragments: DataFrame) -> DataFrame:
-    """Many fragments: each is listed in every bin that it reaches, and a position meets those of its bin."""
-    from pyspark.sql import Window
-
     by_chrom = Window.partitionBy("chrom").orderBy("end")
     f = fragments.select("chrom", F.col("end").cast("long").alias("end"))
-    f = f.withColumns({"i": F.row_number().over(by_chrom) - 1, "lo": F.coalesce(F.lag("end").over(by_chrom) + 1, F.lit(0)), "last": F.lead("end").over(by_chrom).isNull()})
-    f = f.select("chrom", "i", "lo", (F.col("end") + 1).alias("hi"), "last")
-    f = f.withColumn("bin", F.explode(F.sequence(F.shiftright("lo", BIN_BITS), F.shiftright("hi", BIN_BITS))))
-    ends = f.where("last").select(F.col("chrom").alias("lc_"), F.col("i").alias("li_"), F.col("lo").alias("ll_"), F.col("hi").alias("lh_")).distinct()
+    f = f.select("chrom", (F.row_number().over(by_chrom) - 1).alias("i"), F.coalesce(F.lag("end").over(by_chrom) + 1, F.lit(0)).alias("lo"), (F.col("end") + 1).alias("hi"), F.lead("end").over(by_chrom).isNull().alias("last"))
+    listed, bits = _listed(f)
+    ends = F.broadcast(f.where("last").select(F.col("chrom").alias("y_chrom"), F.col("i").alias("y_i"), F.col("lo").alias("y_lo"), F.col("hi").alias("y_hi")))  # one row per chromosome
     for side in (1, 2):
-        pos = F.col(f"pos{side}")
-        found = f.select(F.col("chrom").alias("fc_"), F.col("bin").alias("fb_"), F.col("i").alias("fi_"), F.col("lo").alias("fl_"), F.col("hi").alias("fh_"))
-        on = (F.col(f"chrom{side}") == F.col("fc_")) & (F.shiftright(pos, BIN_BITS) == F.col("fb_")) & (pos >= F.col("fl_")) & (pos < F.col("fh_"))
-        df = df.join(found, on, "left").join(F.broadcast(ends), F.col(f"chrom{side}") == F.col("lc_"), "left")
-        mapped = F.col(f"chrom{side}") != UNMAPPED_CHROM
-        pick = lambda a, b, none: F.coalesce(F.when(mapped, F.coalesce(a, b)), F.lit(none)).cast("long")
-        df = df.withColumns(
-            {
-                f"rfrag{side}": pick("fi_", "li_", UNANNOTATED_FRAGMENT),
-                f"rfrag_start{side}": pick("fl_", "ll_", 0),
-                f"rfrag_end{side}": pick("fh_", "lh_", 0),
-            }
-        ).drop("fc_", "fb_", "fi_", "fl_", "fh_", "lc_", "li_", "ll_", "lh_")
+        df = _found(df, side, listed, bits).join(ends, F.col(f"chrom{side}") == F.col("y_chrom"), "left")
+        known = F.col(f"chrom{side}") != UNMAPPED_CHROM
+        # before the first fragment none matches; only positions at or beyond the last one's end belong to it
+        beyond = F.col(f"pos{side}") >= F.col("y_hi")
+        pick = lambda c, none: F.coalesce(F.when(known, F.coalesce(f"x_{c}", F.when(beyond, F.col(f"y_{c}")))), F.lit(none)).cast("long")  # noqa: E731, B023
+        added = {f"rfrag{side}": pick("i", UNANNOTATED_FRAGMENT), f"rfrag_start{side}": pick("lo", 0), f"rfrag_end{side}": pick("hi", 0)}
+        df = df.withColumns(added).drop("x_chrom", "x_i", "x_lo", "x_hi", "x_last", "x_bin", "y_chrom", "y_i", "y_lo", "y_hi")
     return df
 
 
 def assign_regions(df: DataFrame, regions: DataFrame, sides: tuple[int, ...] = (1, 2)) -> DataFrame:
     """region{i}, region_start{i}, region_end{i}: the half-open region [start, end) that holds the position; -1 and nulls if none.
 
-    regions(chrom, start, end) must not overlap. They are numbered in the order of chrom and start.
+    regions(chrom, start, end) must not overlap. They are numbered in the order of chrom and start, which one task can do: a view holds
+    chromosome arms, not fragments.
     """
-    n = regions.count()
-    numbered = regions.select("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
-    lists = numbered.groupBy("chrom").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("list"))
-    if n > LITERAL:
-        raise ValueError("too many regions")
-    before = {r["chrom"]: r["n"] for r in lists.select("chrom", F.size("list").alias("n")).orderBy("chrom").collect()}
-    offsets, total = {}, 0
-    for chrom in sorted(before):
-        offsets[chrom], total = total, total + before[chrom]
-    number = F.create_map(*[F.lit(v) for pair in offsets.items() for v in pair]) if offsets else F.lit(None).cast("map<string,int>")
-    side_table = F.broadcast(lists.withColumn("starts", F.transform("list", lambda r: r["start"])).withColumn("base", F.try_element_at(number, F.col("chrom"))))
+    number: Column = F.row_number().over(Window.orderBy("chrom", "start")) - 1
+    listed, bits = _listed(regions.select("chrom", F.col("start").cast("long").alias("lo"), F.col("end").cast("long").alias("hi"), number.alias("i")))
     for side in sides:
-        t = side_table.select(F.col("chrom").alias("c_"), "list", "starts", "base")
-        df = df.join(t, F.col(f"chrom{side}") == F.col("c_"), "left")
-        df = df.withColumn("at_", upper_bound(F.col("starts"), F.col(f"pos{side}")) - 1)
-        df = df.withColumn("r_", F.when(F.col("at_") >= 0, F.get("list", F.col("at_"))))
-        inside = F.col("r_").isNotNull() & (F.col(f"pos{side}") < F.col("r_.end"))
-        df = df.withColumns(
-            {
-                f"region{side}": F.when(inside, F.col("base") + F.col("at_")).otherwise(-1).cast("long"),
-                f"region_start{side}": F.when(inside, F.col("r_.start")),
-                f"region_end{side}": F.when(inside, F.col("r_.end")),
-            }
-        ).drop("c_", "list", "starts", "base", "at_", "r_")
+        df = _found(df, side, listed, bits)
+        added = {f"region{side}": F.coalesce("x_i", F.lit(-1)).cast("long"), f"region_start{side}": F.col("x_lo"), f"region_end{side}": F.col("x_hi")}
+        df = df.withColumns(added).drop("x_chrom", "x_lo", "x_hi", "x_i", "x_bin")
     return df

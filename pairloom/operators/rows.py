@@ -37,10 +37,13 @@ def chrom_subset(df: DataFrame, chroms: Sequence[str]) -> DataFrame:
     return df.where(F.col("chrom1").isin(list(chroms)) & F.col("chrom2").isin(list(chroms)))
 
 
-def _rank(chrom: str, order: Sequence[str]) -> Column:
-    """Place in the order, null for chromosomes that it lacks; one literal map, no join."""
-    ranks = F.create_map(*[F.lit(v) for i, c in enumerate(order) for v in (c, i)]) if order else F.lit(None)
-    return F.try_element_at(ranks, F.col(chrom)) if order else F.lit(None).cast("int")
+def with_ranks(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """df + rank1_, rank2_: the places of both chromosomes in the order, null for those that it lacks. The names are broadcast, a row each."""
+    table = df.sparkSession.createDataFrame([(c, i) for i, c in enumerate(dict.fromkeys(order))], "c_ string, r_ int")
+    for side in (1, 2):
+        named = F.broadcast(table.select(F.col("c_").alias(f"c{side}_"), F.col("r_").alias(f"rank{side}_")))
+        df = df.join(named, F.col(f"chrom{side}") == F.col(f"c{side}_"), "left").drop(f"c{side}_")
+    return df
 
 
 def swapped(df: DataFrame, wrong: Column) -> DataFrame:
@@ -62,13 +65,14 @@ def flip(df: DataFrame, order: Sequence[str]) -> DataFrame:
     none, side 1 must have the smaller name, so equal unknown names are exchanged too. The unmapped marker ranks below all.
     """
     order = [UNMAPPED_CHROM, *[c for c in order if c != UNMAPPED_CHROM]]
-    r1, r2 = _rank("chrom1", order), _rank("chrom2", order)
+    df = with_ranks(df, order)
+    r1, r2 = F.col("rank1_"), F.col("rank2_")
     right = (
         F.when(r1.isNotNull() & r2.isNotNull(), (r1 < r2) | ((r1 == r2) & (F.col("pos1") <= F.col("pos2"))))
         .when(r1.isNull() & r2.isNull(), F.col("chrom1") < F.col("chrom2"))
         .otherwise(r1.isNotNull())
     )
-    return swapped(df, ~right)
+    return swapped(df, ~right).drop("rank1_", "rank2_")
 
 
 def _mark_sam(sam: Column) -> Column:

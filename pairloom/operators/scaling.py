@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .intervals import assign_regions
-from .stats import STRANDS, bin_edge
+from .stats import STRANDS, with_bin
 
 OPEN = 2**63 - 1
 
@@ -34,12 +34,13 @@ def _regions(df: DataFrame, regions: DataFrame | None, chromsizes: Mapping[str,
             out = out.withColumns({f"start{i}": F.coalesce(f"region_start{i}", F.lit(-1)), f"end{i}": F.coalesce(f"region_end{i}", F.lit(-1))})
         return out, view
     if chromsizes is not None:
-        sizes = F.create_map(*[F.lit(v) for kv in chromsizes.items() for v in kv])
-        out = df
+        view = spark.createDataFrame([(c, 0, s) for c, s in chromsizes.items()], "chrom string, start long, end long")
+        sizes, out = F.broadcast(view.where("end > 0")), df  # one row per chromosome
         for i in (1, 2):
-            size = F.try_element_at(sizes, F.col(f"chrom{i}")).cast("long")
-            out = out.withColumns({f"start{i}": F.when(size > 0, F.lit(0)).otherwise(-1).cast("long"), f"end{i}": F.coalesce(size, F.lit(-1))})
-        return out, spark.createDataFrame([(c, 0, s) for c, s in chromsizes.items()], "chrom string, start long, end long")
+            side = sizes.select(F.col("chrom").alias("c_"), F.col("start").alias("s_"), F.col("end").alias("e_"))
+            out = out.join(side, F.col(f"chrom{i}") == F.col("c_"), "left")
+            out = out.withColumns({f"start{i}": F.coalesce("s_", F.lit(-1)), f"end{i}": F.coalesce("e_", F.lit(-1))}).drop("c_", "s_", "e_")
+        return out, view
     fixed = {f"{k}{i}": F.lit(v).cast("long") for i in (1, 2) for k, v in (("start", 0), ("end", -1))}
     chroms = df.select(F.col("chrom1").alias("chrom")).union(df.select("chrom2")).distinct()
     return df.withColumns(fixed), chroms.select("chrom", F.lit(0).cast("long").alias("start"), F.lit(-1).cast("long").alias("end"))
@@ -57,49 +58,66 @@ def area_between(min_dist: Column, max_dist: Column, start1: Column, end1: Colum
     return whole(start1, end2) - whole(start1, start2) - whole(end1, end2) + whole(end1, start2)
 
 
-def _strands(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([(s[0], s[1]) for s in STRANDS], "strand1 string, strand2 string")
-
-
 CIS = ["chrom1", "start1", "end1", "chrom2", "start2", "end2", "strand1", "strand2", "min_dist", "max_dist"]
 TRANS = CIS[:8]
+#: pairs of regions whose contacts are told with zeros filled in
+REGION_PAIRS = 4_000_000
 
 
-def skeleton(df: DataFrame, view: DataFrame, edges: list[int]) -> DataFrame:
-    """Every region with every strand pair and distance bin. All three factors are small and known; pairs are not among them."""
+def _with_strands(df: DataFrame) -> DataFrame:
+    each = F.array(*[F.struct(F.lit(s[0]).alias("strand1"), F.lit(s[1]).alias("strand2")) for s in STRANDS])
+    return df.withColumn("s_", F.explode(each)).select(*df.columns, "s_.*")
+
+
+def _bins(edges: list[int]) -> dict[int, int]:
+    """Lower to upper edge of every bin, from 0 to OPEN."""
     lows = [0, *edges] if edges[0] != 0 else list(edges)
-    bins = df.sparkSession.createDataFrame(list(zip(lows, [*lows[1:], OPEN], strict=True)), "min_dist long, max_dist long")
-    both = view.select(*[F.col(c).alias(f"{c}{i}") for i in (1, 2) for c in ("chrom", "start", "end")])
-    return both.crossJoin(_strands(df)).crossJoin(bins)
+    return dict(zip(lows, [*lows[1:], OPEN], strict=True))
+
+
+def skeleton(df: DataFrame, view: DataFrame, edges: list[int]) -> DataFrame:
+    """Every region with every strand pair and distance bin, listed region by region."""
+    bins = F.array(*[F.struct(F.lit(lo).cast("long").alias("min_dist"), F.lit(hi).cast("long").alias("max_dist")) for lo, hi in _bins(edges).items()])
+    both = _with_strands(view.select(*[F.col(c).alias(f"{c}{i}") for i in (1, 2) for c in ("chrom", "start", "end")]))
+    return both.withColumn("b_", F.explode(bins)).select(*both.columns, "b_.*")
 
 
 def cis_scaling(df: DataFrame, regions: DataFrame | None = None, chromsizes: Mapping[str, int] | None = None, edges: list[int] | None = None) -> DataFrame:
     """Counts of pairs inside a region by region, strand pair and distance bin, zeros included, with the bins' areas.
 
-    Distances below the first edge or from the last one on are not counted; their bins are there, with 0.
+    Distances below the first edge or from the last one on are not counted; their bins are there, with 0. The zeros are
+    counted along with the pairs, in one shuffle.
     """
     edges = edges or geometric_edges()
     pairs, view = _regions(df, regions, chromsizes)
-    inside = (F.col("start1") >= 0) & (F.col("start2") >= 0) & (F.col("chrom1") == F.col("chrom2")) & (F.col("start1") == F.col("start2")) & (F.col("end1") == F.col("end2"))
+    inside = (F.col("start1") >= 0) & (F.col("start2") >= 0) & (F.col("chrom1") == F.col("chrom2")) & (F.col("start1") == F.col("start2")) & (F.col("end1") == F.col("end2")) if regions is not None or chromsizes is not None else F.col("chrom1") == F.col("chrom2")
     dist = F.abs(F.col("pos1") - F.col("pos2"))
-    low = bin_edge(dist, edges)
-    counted = pairs.where(inside & (dist >= max(1, edges[0])) & (dist < edges[-1])).withColumn("min_dist", low).where("min_dist > 0")
-    upper = F.create_map(*[F.lit(v).cast("long") for pair in zip(edges[:-1], edges[1:], strict=True) for v in pair])
-    counts = counted.groupBy(*TRANS, "min_dist").agg(F.count("*").alias("n")).withColumn("max_dist", F.try_element_at(upper, F.col("min_dist")))
-    full = skeleton(df, view, edges).join(counts, CIS, "full")
-    return full.select(*CIS, F.coalesce("n", F.lit(0)).cast("long").alias("n_pairs"), area(F.col("min_dist"), F.col("max_dist"), F.col("end1") - F.col("start1")).alias("n_bp2"))
+    counted = with_bin(pairs.where(inside & (dist >= max(1, edges[0])) & (dist < edges[-1])), dist, edges).select(*TRANS, "min_dist", F.lit(1).alias("n"))
+    zeros = skeleton(df, view, edges).select(*TRANS, "min_dist", F.lit(0).alias("n"))
+    total = counted.unionByName(zeros).groupBy(*TRANS, "min_dist").agg(F.sum("n").alias("n_pairs")).where("min_dist is not null")
+    upper = F.create_map(*[F.lit(v).cast("long") for bounds in _bins(edges).items() for v in bounds])  # looked up a row of the result
+    total = total.withColumn("max_dist", F.element_at(upper, F.col("min_dist")))
+    return total.select(*CIS, "n_pairs", area(F.col("min_dist"), F.col("max_dist"), F.col("end1") - F.col("start1")).alias("n_bp2"))
 
 
 def trans_levels(df: DataFrame, regions: DataFrame | None = None, chromsizes: Mapping[str, int] | None = None) -> DataFrame:
-    """Counts of all pairs not inside one region, by both regions and strand pair, zeros included, with the areas."""
+    """Counts of all pairs not inside one region, by both regions and strand pair, zeros included, with the areas.
+
+    The result has a row for every two regions; views with more than ``REGION_PAIRS`` of them are refused.
+    """
     pairs, view = _regions(df, regions, chromsizes)
+    n = view.count()
+    if n * n > REGION_PAIRS:
+        raise ValueError(f"{n} regions make more than {REGION_PAIRS} pairs of regions")
     same = (F.col("chrom1") == F.col("chrom2")) & (F.col("start1") == F.col("start2")) & (F.col("end1") == F.col("end2"))
-    counts = pairs.where((F.col("start1") >= 0) & (F.col("start2") >= 0) & ~same).groupBy(*TRANS).agg(F.count("*").alias("n"))
-    one = view.select(*[F.col(c).alias(f"{c}1") for c in ("chrom", "start", "end")])
-    two = view.select(*[F.col(c).alias(f"{c}2") for c in ("chrom", "start", "end")])
-    frame = one.crossJoin(two).where(~same).crossJoin(_strands(df))
-    full = frame.join(counts, TRANS, "full")
-    return full.select(*TRANS, F.coalesce("n", F.lit(0)).cast("long").alias("n_pairs"), ((F.col("end1") - F.col("start1")) * (F.col("end2") - F.col("start2"))).cast("double").alias("n_bp2"))
+    counted = pairs.where((F.col("start1") >= 0) & (F.col("start2") >= 0) & ~same).select(*TRANS, F.lit(1).alias("n"))
+    names = ("chrom", "start", "end")
+    all_ = view.agg(F.collect_list(F.struct(*names)).alias("all"))  # as many as checked
+    two = all_.select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y"))
+    two = two.select(*[F.col(f"{v}.{c}").alias(f"{c}{i}") for i, v in ((1, "x"), (2, "y")) for c in names]).where(~same)
+    zeros = _with_strands(two).select(*TRANS, F.lit(0).alias("n"))
+    total = counted.unionByName(zeros).groupBy(*TRANS).agg(F.sum("n").alias("n_pairs"))
+    return total.select(*TRANS, "n_pairs", ((F.col("end1") - F.col("start1")) * (F.col("end2") - F.col("start2"))).cast("double").alias("n_bp2"))
 
 
 def scaling_table(df: DataFrame, **options) -> DataFrame:

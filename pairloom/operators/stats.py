@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Mapping
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,16 +28,13 @@ def distance_edges(per_decade: int = 8, decades: int = 9) -> list[int]:
     return sorted({0, *(round(10 ** (k / per_decade)) for k in range(decades * per_decade + 1))})
 
 
-def bin_edge(value: Column, edges: list[int]) -> Column:
-    """The last edge <= value, as a balanced tree of comparisons (stays in generated code); null below the first."""
-
-    def tree(lo: int, hi: int) -> Column:
-        if hi - lo == 1:
-            return F.lit(edges[lo]).cast("long")
-        mid = (lo + hi) // 2
-        return F.when(value >= edges[mid], tree(mid, hi)).otherwise(tree(lo, mid))
-
-    return F.when(value >= edges[0], tree(0, len(edges)))
+def with_bin(df: DataFrame, value: Column, edges: list[int], name: str = "min_dist") -> DataFrame:
+    """df + the last edge <= value, null below the first one and for nulls. A binary search a row, in compiled code."""
+    inner = [float(e) for e in edges]
+    split = Bucketizer(splits=[-math.inf, *inner, math.inf], inputCol="value_", outputCol="bin_", handleInvalid="keep")
+    binned = split.transform(df.withColumn("value_", value.cast("double")))
+    edge = F.get(F.array(*[F.lit(e).cast("long") for e in edges]), F.col("bin_").cast("int") - 1)
+    return binned.withColumn(name, F.when(F.col("value_").isNotNull(), edge)).drop("value_", "bin_")
 
 
 def tagged(df: DataFrame, filters: Mapping[str, str] | None = None) -> DataFrame:
@@ -84,7 +82,7 @@ def dist_freq(df: DataFrame, filters: Mapping[str, str] | None = None, edges: li
     """(filter, min_dist, max_dist, strands, n) for every bin and strand pair, zeros included; the last bin has no max_dist."""
     edges = edges or distance_edges()
     spark = df.sparkSession
-    counts = _with_flags(tagged(df, filters)).where("cis_").groupBy("filter", bin_edge(F.col("dist_"), edges).alias("min_dist"), F.concat("strand1", "strand2").alias("strands")).agg(F.count("*").alias("n"))
+    counts = with_bin(_with_flags(tagged(df, filters)).where("cis_"), F.col("dist_"), edges).groupBy("filter", "min_dist", F.concat("strand1", "strand2").alias("strands")).agg(F.count("*").alias("n"))
     names = [NO_FILTER, *(filters or {})]
     frame = [(f, lo, hi, s) for f in names for lo, hi in zip(edges, [*edges[1:], None], strict=True) for s in STRANDS]
     frame = spark.createDataFrame(frame, "filter string, min_dist long, max_dist long, strands string")

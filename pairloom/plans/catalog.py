@@ -135,7 +135,6 @@ FROM pairs p LEFT JOIN s1 USING (readID) LEFT JOIN s2 USING (readID)"""
 
 RFRAG = ["readID", "rfrag1", "rfrag_start1", "rfrag_end1", "rfrag2", "rfrag_start2", "rfrag_end2"]
 query("restrict_annotate", _restrict_sql())(lambda spark, d: intervals.annotate_fragments(pairs(spark, d), _fragments(spark, d)).select(*RFRAG))
-query("restrict_by_bin", _restrict_sql())(lambda spark, d: intervals._annotate_by_bin(pairs(spark, d), _fragments(spark, d)).select(*RFRAG))
 REGIONS = [("chr1", 0, 600), ("chr1", 600, 1500), ("chr2", 100, 1900), ("chr3", 0, 2500), ("chr5", 50, 60)]
 REGIONS_SQL = "SELECT chrom, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e, CAST(i AS BIGINT) AS i FROM (VALUES " + ", ".join(f"('{c}', {s}, {e}, {i})" for i, (c, s, e) in enumerate(REGIONS)) + ") v(chrom, s, e, i)"
 
@@ -181,7 +180,14 @@ simple("dedup_extra_cols", lambda d: dedup.deduplicate(d, 3, extra=["mapq2"]).se
 simple("dedup_exact", lambda d: dedup.deduplicate(d, 0).select(*ROUTED), f"""{P}, m AS (SELECT readID, first_value(readID) OVER (PARTITION BY chrom1, chrom2, strand1, strand2, pos1, pos2 ORDER BY pair_type, readID) AS f FROM pairs WHERE {MAPPED})
 SELECT p.readID, CASE WHEN f <> p.readID THEN f END AS parent_readID, CASE WHEN f IS NULL THEN 'unmapped' WHEN f <> p.readID THEN 'dups' ELSE 'nodups' END AS route FROM pairs p LEFT JOIN m USING (readID)""")
 simple("dedup_route", lambda d: dedup.marked(dedup.deduplicate(d)).groupBy("route", "pair_type").agg(F.count("*").alias("n")), _dedup_sql("max").replace("SELECT p.readID, CASE", "SELECT CASE WHEN h.o IS NULL THEN 'unmapped' WHEN h.o <> h.h THEN 'dups' ELSE 'nodups' END AS route, CASE WHEN h.o <> h.h THEN 'DD' ELSE p.pair_type END AS pair_type, count(*) AS n FROM pairs p LEFT JOIN head h USING (readID) GROUP BY ALL --").split(" --")[0])
-simple("dedup_online", lambda d: dedup.deduplicate(d, 3, rule="greedy").select(*ROUTED))
+ONLINE_SQL = f"""{_dedup_sql("max").split("SELECT p.readID, CASE")[0].rstrip()},
+c AS (SELECT h, list({{o: o, p: pos1, q: pos2, id: m.readID}} ORDER BY o) AS x FROM head JOIN m USING (o) GROUP BY h),
+g AS (SELECT h, x, 1 AS i, [x[1]] AS kept, [x[1]] AS parents FROM c UNION ALL
+  SELECT h, x, i + 1, CASE WHEN len(f) = 0 THEN list_append(kept, x[i + 1]) ELSE kept END, list_append(parents, CASE WHEN len(f) = 0 THEN x[i + 1] ELSE f[1] END)
+  FROM (SELECT *, list_filter(kept, lambda k: greatest(abs(k.p - x[i + 1].p), abs(k.q - x[i + 1].q)) <= 3) AS f FROM g WHERE i < len(x))),
+w AS (SELECT unnest(x) AS y, unnest(parents) AS z FROM g WHERE i = len(x))
+SELECT p.readID, CASE WHEN y.o <> z.o THEN z.id END AS parent_readID, CASE WHEN y IS NULL THEN 'unmapped' WHEN y.o <> z.o THEN 'dups' ELSE 'nodups' END AS route FROM pairs p LEFT JOIN w ON w.y.id = p.readID"""
+simple("dedup_online", lambda d: dedup.deduplicate(d, 3, rule="greedy").select(*ROUTED), ONLINE_SQL)
 simple("dedup_parent_id", lambda d: dedup.deduplicate(d).where("route = 'dups'").select("readID", "parent_readID"), _dedup_sql("max").replace("FROM pairs p LEFT JOIN head h USING (readID) LEFT JOIN m f ON f.o = h.h", "FROM pairs p JOIN head h USING (readID) JOIN m f ON f.o = h.h WHERE h.o <> h.h").replace(", CASE WHEN h.o IS NULL THEN 'unmapped' WHEN h.o <> h.h THEN 'dups' ELSE 'nodups' END AS route", ""))
 
 

@@ -149,7 +149,7 @@ def test_coverage_counts_rows_not_names(spark):
 def test_fragments(spark, pairs):
     ends = {"chr1": [10, 25, 40], "chr2": [5, 70]}
     table = spark.createDataFrame([(c, 0, e) for c, v in ends.items() for e in v], "chrom string, start long, end long")
-    for annotate in (intervals.annotate_fragments, intervals._annotate_by_bin):
+    for annotate in (intervals.annotate_fragments,):
         for r in annotate(pairs, table).collect():
             for c, p, got in ((r.chrom1, r.pos1, (r.rfrag1, r.rfrag_start1, r.rfrag_end1)), (r.chrom2, r.pos2, (r.rfrag2, r.rfrag_start2, r.rfrag_end2))):
                 if c not in ends:

@@ -5,7 +5,7 @@ import os
 import pytest
 
 from pairloom.functions.conditions import select
-from pairloom.operators import coverage, dedup, rows, stats
+from pairloom.operators import coverage, dedup, intervals, rows, scaling, stats
 from pairloom.plans import views
 
 DATA = "/root/testdata/sf0.001"
@@ -26,7 +26,26 @@ def test_pruning_and_pushdown(spark, tmp_path):
 def test_row_operators_do_not_shuffle(spark):
     df = views.pairsam(spark, DATA)
     for out in (rows.flip(df, ["chr1"]), rows.mark_duplicates(df), rows.split_sam(df), rows.sample(df, 0.1), rows.split_pairs(df)):
-        assert "Exchange" not in plan(out) and "Python" not in plan(out)
+        text = plan(out)  # flip broadcasts the names of the order
+        assert "hashpartitioning" not in text and "rangepartitioning" not in text and "SortMergeJoin" not in text and "Python" not in text
+
+
+def test_tables_of_regions_are_built_without_cross_products(spark):
+    df = views.pairs(spark, DATA)
+    view = spark.createDataFrame([("chr1", 0, 600), ("chr1", 600, 1500), ("chr2", 100, 1900)], "chrom string, start long, end long")
+    for out in (scaling.cis_scaling(df, chromsizes={"chr1": 3000, "chr2": 3000}), scaling.cis_scaling(df, view), scaling.trans_levels(df, view), scaling.cis_scaling(df)):
+        text = plan(out)
+        assert "CartesianProduct" not in text and "NestedLoop" not in text
+    with pytest.raises(ValueError):
+        scaling.trans_levels(df, spark.range(3000).selectExpr("concat('chr', id) as chrom", "0L as start", "1L as end"))
+
+
+def test_intervals_are_found_by_an_equi_join(spark):
+    df = views.pairs(spark, DATA)
+    fragments = spark.range(1, 400).selectExpr("concat('chr', id % 5 + 1) as chrom", "0L as start", "id * 10 as end")
+    for out in (intervals.annotate_fragments(df, fragments), intervals.assign_regions(df, spark.createDataFrame([("chr1", 0, 600)], "chrom string, start long, end long"))):
+        text = plan(out)
+        assert "BroadcastHashJoin" in text and "NestedLoop" not in text and "aggregate(" not in text
 
 
 def test_statistics_combine_before_the_shuffle(spark):
