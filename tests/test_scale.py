@@ -27,7 +27,7 @@ def test_row_operators_do_not_shuffle(spark):
     df = views.pairsam(spark, DATA)
     for out in (rows.flip(df, ["chr1"]), rows.mark_duplicates(df), rows.split_sam(df), rows.sample(df, 0.1), rows.split_pairs(df)):
         text = plan(out)  # flip broadcasts the names of the order
-        assert "hashpartitioning" not in text and "rangepartitioning" not in text and "SortMergeJoin" not in text and "Python" not in text
+        assert "hashpartitioning" not in text and "rangepartitioning" not in text and "SortMergeJoin" not in text and "EvalPython" not in text and "Pandas" not in text
 
 
 def test_tables_of_regions_are_built_without_cross_products(spark):
