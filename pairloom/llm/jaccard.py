@@ -47,7 +47,7 @@ RATIO = 1.4
 SPARE = 0.05
 FOLD = 8  # words of 64 bits
 SMALL_SIDE = 1_000_000
-SEEN = 1 << 20
+SEEN = 1 << 18
 BLOCK = 1024
 _U = np.uint64
 
@@ -137,17 +137,15 @@ def nodes_of(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -
 
 def _parts(docs: DataFrame, k: int, num: int, den: int, text: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
+        seen = np.arange(1, SEEN + 1)  # the last fingerprint of each slot, at first one of another slot; what it misses costs repeated rows, no more
         for batch in batches:
             for part in T.chunks(batch, text):
                 keys, owners = [], []
                 for s in sets_of(part[text].tolist(), k):
                     f = fingerprint(s)
-                    if not len(s) or f in seen:
+                    if not len(s) or seen[f % SEEN] == f:
                         continue
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen.add(f)
+                    seen[f % SEEN] = f
                     keys.append(part_keys(s, num, den))
                     owners.append(np.full(len(keys[-1]), f, np.int64))
                 if keys:

@@ -32,7 +32,7 @@ LABELLERS = ("symbols", "capitals", "repeats", "exclaims", "variety", "stops", "
 
 def _class_lut() -> np.ndarray:
     """Character classes: letters by case, digits, line ends, blanks, other ASCII each by itself."""
-    lut = np.arange(256, dtype=np.int64)
+    lut = np.arange(256, dtype=np.int32)
     lut[65:91], lut[97:123], lut[48:58], lut[128:] = 65, 97, 48, 97
     lut[[9, 11, 12, 13, 32]] = 32
     return lut
@@ -65,11 +65,11 @@ class Batch:
 
     def holds(self, flag: np.ndarray) -> np.ndarray:
         """Which words hold a flagged byte."""
-        total = np.concatenate(([0], np.cumsum(flag)))
+        total = np.concatenate((np.zeros(1, np.int32), np.cumsum(flag, dtype=np.int32)))
         return total[self.end] > total[self.start]
 
     def per_byte(self, flag: np.ndarray) -> np.ndarray:
-        total = np.concatenate(([0], np.cumsum(flag)))
+        total = np.concatenate((np.zeros(1, np.int32), np.cumsum(flag, dtype=np.int32)))
         return total[self.at[1:]] - total[self.at[:-1]]
 
     def distinct(self) -> np.ndarray:
@@ -92,7 +92,7 @@ def votes(texts: list) -> np.ndarray:
     stops[:] = STOP[b.buf[b.end - 1]] & ~b.holds(SYMBOL[b.buf] | double)
     # letters and digits, but for one sign at the end
     odd = ~T.SPLIT_WHITE[b.buf] & T.SPLIT_PUNCT[b.buf]
-    total = np.concatenate(([0], np.cumsum(odd)))
+    total = np.concatenate((np.zeros(1, np.int32), np.cumsum(odd, dtype=np.int32)))
     plain = (total[b.end] - total[b.start] - STOP[b.buf[b.end - 1]]) <= 0
     share = {
         "symbols": b.per_word(b.holds(SYMBOL[b.buf])) / n,

@@ -17,8 +17,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def light_batches(spark: SparkSession, most_bytes: int = 8 << 20, most_rows: int = 2000) -> None:
-    """Arrow batches of at most 8 MB and 2,000 rows for this session, where they may be larger: whole texts go to Python workers in such batches."""
+def light_batches(spark: SparkSession, most_bytes: int = 2 << 20, most_rows: int = 1000) -> None:
+    """Arrow batches of at most 2 MB and 1,000 rows for this session, where they may be larger: whole texts go to Python workers in such batches."""
     for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", most_bytes), ("spark.sql.execution.arrow.maxRecordsPerBatch", most_rows)):
         now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
         if now is None or not 0 < int(now[1]) <= most:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 
@@ -143,17 +143,30 @@ def shingles(hashes: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarra
     return out, out_offsets
 
 
-def chunks(frame, column: str, limit: int = 1 << 20):
-    """Slices of a pandas frame whose texts sum to about ``limit`` characters; a longer text stands alone."""
-    size, at = 0, 0
-    lengths = [len(t) if isinstance(t, str) else 0 for t in frame[column]]
-    for i, n in enumerate(lengths):
-        if i > at and size + n > limit:
-            yield frame.iloc[at:i]
-            at, size = i, 0
+def cuts(texts: list, limit: int) -> list[int]:
+    """Where to cut a list so that its parts' texts sum to about ``limit`` characters; a longer text stands alone."""
+    size, at = 0, [0]
+    for i, t in enumerate(texts):
+        n = len(t) if isinstance(t, str) else 0
+        if i > at[-1] and size + n > limit:
+            at.append(i)
+            size = 0
         size += n
-    if at < len(frame):
-        yield frame.iloc[at:]
+    return [*at, len(texts)] if len(texts) else [0]
+
+
+def chunks(frame, column: str, limit: int = 1 << 18):
+    """Slices of a pandas frame by the sizes of its texts."""
+    at = cuts(frame[column].tolist(), limit)
+    for lo, hi in zip(at[:-1], at[1:], strict=True):
+        yield frame.iloc[lo:hi]
+
+
+def runs(texts: list, limit: int = 1 << 18):
+    """Slices of a list by the sizes of its texts."""
+    at = cuts(texts, limit)
+    for lo, hi in zip(at[:-1], at[1:], strict=True):
+        yield texts[lo:hi]
 
 
 def signed(x: np.ndarray) -> np.ndarray:
