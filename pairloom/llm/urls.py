@@ -5,20 +5,25 @@ Tree, per host: every path segment is typed (numbers ``{n}``, hexadecimal ``{x}`
 children of a node become one ``*`` if there are more than ``max_children`` of them, and children whose share
 of bad labels does not differ from the node's (a z-test on proportions) merge into ``*`` as well;
 unlabelled children stay apart, as nothing says what they are like. Segments below ``depth`` form one
-``**``. A template's purity is (bad + strength * prior) / (labelled + strength); templates with a purity of at
-least ``reject`` are rejected.
+``**``. A node's purity is (bad + strength * purity of the node above) / (labelled + strength), so a branch with few labels leans on its host and one with many
+stands for itself; above the host stands the share of bad ones among all labelled pages. Templates with a purity of at
+least ``reject`` are rejected, whatever their number of pages.
 
-Labels come from the rules (block: bad, allow: good) and, for other pages, from seed words in the
-host name (bad). All counts are taken over distinct (host, typed path), summed before their shuffle, so a host with a
+Labels are those of pages, not of hosts: the rule that fits (block: bad, allow: good); else what the page holds. A link to a host that a rule blocks as a whole, or text that is
+junk (few distinct words, symbols in many words, capitals throughout), makes a page bad, other text of 20 words or more good; pages with less text or none have no
+label. All counts are taken over distinct (host, typed path), summed before their shuffle, so a host with a
 third of all pages is a few rows from every task.
 
 Defined cases: a url that is null or has no ``://`` has an empty host and path, matches no rule, and
-belongs to the empty template, which is unlabelled and so allowed; repeated rows and null ids are judged row
-by row; other columns are dropped.
+belongs to the empty template; very long urls and pages are read whole; a page without html, or a table without that column, has the labels of rules alone; repeated rows
+count and are judged row by row, null ids too; of rules that fit equally long the later one in code point order of host and path wins; an empty table
+gives an empty result; other columns are dropped.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +31,9 @@ from .store import cut
 
 #: fixed values: (host, path) -> verdict
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-SEEDS = ("spam", "pills", "ads-", "casino", "viagra", "porn", "phish", "malware")
 SMALL_SIDE = 200_000
+#: fewest words of a page that its text labels
+LEAST_WORDS = 20
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -40,7 +46,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def match_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits, else nulls."""
     rule = verdict = F.lit(None).cast("string")
-    for h, p, v in sorted(rules, key=lambda r: len(r[0] + r[1])):
+    for h, p, v in sorted(rules, key=lambda r: (len(r[0] + r[1]), r[0], r[1])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         rule, verdict = F.when(fits, F.lit(h + p)).otherwise(rule), F.when(fits, F.lit(v)).otherwise(verdict)
     return rule, verdict
@@ -80,21 +86,46 @@ def templates(paths: DataFrame, max_children: int = 20, z: float = 1.96) -> Data
     return tree
 
 
-def judge(pages: DataFrame, rules=RULES, seeds=SEEDS, prior: float = 0.2, strength: float = 1.0, reject: float = 0.8, max_children: int = 20, depth: int = 8) -> DataFrame:
-    """pages(page_id, url, ...) -> (page_id, host, path, rule, verdict, template, purity)."""
+def page_label(html: Column, rules=RULES) -> Column:
+    """True: bad, false: good, null: can't be told."""
+    text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z#0-9]{1,8};", " ")
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n = F.size(words)
+    few = F.size(F.array_distinct(words)) < n * F.when(n <= 3000, 0.3).otherwise(0.1)
+    symbols = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]*[#$%&*|<>{}\[\]\\^~=+@_`][^\x20\x09-\x0D]*")) > 0.2 * n
+    capitals = F.regexp_count(text, F.lit("[A-Z]")) > F.regexp_count(text, F.lit("[a-z]"))
+    label = F.when(n >= LEAST_WORDS, few | symbols | capitals)
+    blocked = "|".join(re.escape(h) for h, p, v in rules if v == "block" and p == "/")
+    if blocked:  # fit the host of a link or one above it
+        label = F.when(html.rlike(rf"(?i)href\s*=\s*[\"']?[a-z][a-z0-9+.-]*://([^/?#\"'>\x20]*\.)?({blocked})([/?#\"'>\x20]|$)"), True).otherwise(label)
+    return label
+
+
+def purities(tree: DataFrame, prior: float, strength: float) -> DataFrame:
+    """tree(host, template, bad, lab) -> (host, template, purity)."""
+    leaf = tree.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("lab").alias("lab"))
+    above = leaf.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("template")))).withColumn("node", F.expr("slice(template, 1, i)"))
+    nodes = above.groupBy("host", "node").agg(F.sum("bad").alias("b"), F.sum("lab").alias("l"))
+    path = above.select("host", "template", "i", "node").join(nodes, ["host", "node"]).groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("i", "b", "l"))).alias("path"))  # depth + 2 nodes at most
+    fold = F.aggregate("path", F.lit(float(prior)), lambda p, x: (x["b"] + strength * p) / (x["l"] + strength))
+    return path.select("host", "template", fold.alias("purity"))
+
+
+def judge(pages: DataFrame, rules=RULES, strength: float = 2.0, reject: float = 0.7, max_children: int = 20, depth: int = 8, html: str = "html", key: str = "page_id") -> DataFrame:
+    """pages(page_id, url, html, ...) -> (page_id, host, path, rule, verdict, template, purity)."""
     host, path = host_and_path(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
+    content = page_label(F.col(html), rules) if html in pages.columns else F.lit(None).cast("boolean")
+    rows = pages.select(F.col(key).alias("page_id"), host.alias("host"), path.alias("path"), content.alias("content"))
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "listed": verdict, "typed": typed_path(F.col("path"), depth)})
-    seeded = F.col("host").rlike("|".join(seeds))
-    bad = (F.col("listed") == "block") | F.col("listed").isNull() & seeded
-    labelled = F.col("listed").isNotNull() | seeded
-    paths = cut(rows.groupBy("host", "typed").agg(F.count("*").alias("n"), F.sum(F.when(bad, 1).otherwise(0)).alias("bad"), F.sum(F.when(labelled, 1).otherwise(0)).alias("lab")))
+    bad = F.coalesce(F.col("listed") == "block", F.col("content"))
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    paths = cut(rows.groupBy("host", "typed").agg(F.count("*").alias("n"), count(bad).alias("bad"), count(bad.isNotNull()).alias("lab")))
+    total = paths.agg(F.sum("bad").alias("b"), F.sum("lab").alias("l")).first()
     tree = templates(paths, max_children)
-    purity = tree.groupBy("host", "template").agg(((F.sum("bad") + strength * prior) / (F.sum("lab") + strength)).alias("purity"))
-    scored = cut(tree.select("host", "typed", "template").join(purity, ["host", "template"]))
+    scored = cut(tree.select("host", "typed", "template").join(purities(tree, total["b"] / total["l"] if total["l"] else 0.0, strength), ["host", "template"]))
     side = F.broadcast(scored) if scored.count() <= SMALL_SIDE else scored
-    rows = rows.join(side, ["host", "typed"], "left")
+    rows = rows.drop("content").join(side, ["host", "typed"], "left")
     own = F.when(F.col("purity") >= reject, F.lit("block")).otherwise(F.lit("allow"))
     return rows.select("page_id", "host", "path", "rule", F.coalesce("listed", own).alias("verdict"), F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity")
 
@@ -102,4 +133,4 @@ def judge(pages: DataFrame, rules=RULES, seeds=SEEDS, prior: float = 0.2, streng
 def op9(spark, sf_dir: str) -> DataFrame:
     from .store import table
 
-    return judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
