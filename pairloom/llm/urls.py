@@ -6,7 +6,7 @@ children of a node become one ``*`` if there are more than ``max_children`` of t
 of bad labels does not differ from the node's (a z-test on proportions) merge into ``*`` as well;
 unlabelled children stay apart, as nothing says what they are like. Segments below ``depth`` form one
 ``**``. A node's purity is (bad + strength * purity of the node above) / (labelled + strength), so a branch with few labels leans on its host and one with many
-stands for itself; above the host stands the share of bad ones among all labelled pages. Templates with a purity of at
+stands for itself; above the host stands ``prior``. Templates with a purity of at
 least ``reject`` are rejected, whatever their number of pages.
 
 Labels are those of pages, not of hosts: the rule that fits (block: bad, allow: good); else what the page holds. A link to a host that a rule blocks as a whole, or text that is
@@ -111,7 +111,7 @@ def purities(tree: DataFrame, prior: float, strength: float) -> DataFrame:
     return path.select("host", "template", fold.alias("purity"))
 
 
-def judge(pages: DataFrame, rules=RULES, strength: float = 2.0, reject: float = 0.7, max_children: int = 20, depth: int = 8, html: str = "html", key: str = "page_id") -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, prior: float = 0.2, strength: float = 2.0, reject: float = 0.7, max_children: int = 20, depth: int = 8, html: str = "html", key: str = "page_id") -> DataFrame:
     """pages(page_id, url, html, ...) -> (page_id, host, path, rule, verdict, template, purity)."""
     host, path = host_and_path(F.col("url"))
     content = page_label(F.col(html), rules) if html in pages.columns else F.lit(None).cast("boolean")
@@ -121,9 +121,8 @@ def judge(pages: DataFrame, rules=RULES, strength: float = 2.0, reject: float =
     bad = F.coalesce(F.col("listed") == "block", F.col("content"))
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     paths = cut(rows.groupBy("host", "typed").agg(F.count("*").alias("n"), count(bad).alias("bad"), count(bad.isNotNull()).alias("lab")))
-    total = paths.agg(F.sum("bad").alias("b"), F.sum("lab").alias("l")).first()
     tree = templates(paths, max_children)
-    scored = cut(tree.select("host", "typed", "template").join(purities(tree, total["b"] / total["l"] if total["l"] else 0.0, strength), ["host", "template"]))
+    scored = cut(tree.select("host", "typed", "template").join(purities(tree, prior, strength), ["host", "template"]))
     side = F.broadcast(scored) if scored.count() <= SMALL_SIDE else scored
     rows = rows.drop("content").join(side, ["host", "typed"], "left")
     own = F.when(F.col("purity") >= reject, F.lit("block")).otherwise(F.lit("allow"))
