@@ -12,7 +12,10 @@ besides, generic tokens: runs of ``[A-Za-z0-9+/_-]``, 20 or longer, that hold a
 not lie in a base match, and mix many characters. Live-looking generic ones are added as spans of kind
 ``owned``; base spans stay whatever their frequency.
 
-Defined cases: a null text counts as empty and has no spans; a null owner or repository counts as one
+Work grows with a text's length and matches, not with their square: running sums go by chunks, overlaps are found by a sweep.
+
+Defined cases: a null text counts as empty and has no spans; very long texts are scanned whole; spans that start together stand in the order of the kinds; an empty
+table gives an empty result; a null owner or repository counts as one
 owner or repository of its own; rows that repeat a doc_id are scanned each on its own; other columns pass
 through ``scan`` untouched unless they bear the names it adds, which then replace them.
 """
@@ -37,22 +40,65 @@ GENERIC = r"([A-Za-z0-9+/_-]{20,})"
 OWNED = 3
 
 
-def _spans(text: Column, pattern: str, order: int, group: int, least: int) -> Column:
-    """array<struct<start, ord, end, value>> of the matches of one kind whose group is long enough."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    pieces = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,ord:int,end:bigint,value:string>>").alias("out"))
+#: elements that a running sum takes at a time: work is that of n * CHUNK / 2 + (n / CHUNK) ** 2 / 2 steps for n elements
+CHUNK = 256
+#: code points of a block that texts are cut from
+BLOCK = 4096
+
+
+def _name() -> str:
+    return f"x{uuid.uuid4().hex}"  # columns of docs may bear any name
+
+
+def _running(array: str, op, zero: int) -> Column:
+    """Of a column of whole numbers, before each element: ``op`` over all earlier ones. The column must not be an expression, as it is read again and again."""
+
+    def scan(values: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(values, first, lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        one = F.struct(start.cast("long").alias("start"), F.lit(order).alias("ord"), end.cast("long").alias("end"), x["v"].alias("value"))
-        return F.struct(end.cast("long").alias("at"), F.when(F.length(x["v"]) >= least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+    neutral = F.lit(zero).cast("long")
+    chunks = F.transform(F.sequence(F.lit(0), F.expr(f"(size({array}) - 1) div {CHUNK}").cast("int")), lambda c: F.slice(F.col(array), c * CHUNK + 1, CHUNK))
+    starts = scan(F.transform(chunks, lambda c: F.aggregate(c, neutral, lambda a, b: op(a, b))), neutral)
+    each = F.flatten(F.transform(F.arrays_zip(chunks.alias("c"), starts.alias("s")), lambda z: scan(z["c"], z["s"])))
+    return F.when(F.size(array) > 0, each).otherwise(F.array().cast("array<bigint>"))
 
-    zipped = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("p"), found.alias("m"), value.alias("v"))
-    empty = F.array().cast("array<struct<start:bigint,ord:int,end:bigint,value:string>>")
-    return F.when(F.size(found) > 0, F.aggregate(zipped, zero, step)["out"]).otherwise(empty)
+
+SPAN = "array<struct<start:bigint,ord:int,end:bigint,value:string>>"
+
+
+def _spans(docs: DataFrame, text: str, kinds: list[tuple]) -> DataFrame:
+    """docs + one column per kind (column, cheap test, pattern, ord, group, least): its matches whose group is long enough, by start."""
+    found, sizes, starts = ([_name() for _ in kinds] for _ in range(3))
+    zipped = {}
+    for z, (_, test, pattern, _, group, _) in zip(found, kinds, strict=True):
+        matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+        parts = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(matches)).alias("p"), matches.alias("m"), value.alias("v"))
+        zipped[z] = F.when(F.col(text).rlike(test), parts).otherwise(F.array().cast("array<struct<p:string,m:string,v:string>>"))
+    docs = docs.withColumns(zipped)
+    docs = docs.withColumns({n: F.transform(z, lambda x: (F.length(x["p"]) + F.length(x["m"])).cast("long")) for n, z in zip(sizes, found, strict=True)})
+    docs = docs.withColumns({at: _running(n, lambda a, b: a + b, 0) for at, n in zip(starts, sizes, strict=True)})
+    out = {}
+    for z, at, (column, _, _, order, _, least) in zip(found, starts, kinds, strict=True):
+        long_enough = F.filter(F.arrays_zip(F.col(z).alias("z"), F.col(at).alias("at")), lambda x: F.length(x["z"]["v"]) >= least)  # noqa: B023
+        start = lambda x: x["at"] + F.length(x["z"]["p"])
+        out[column] = F.transform(long_enough, lambda x: F.struct(start(x).alias("start"), F.lit(order).alias("ord"), (start(x) + F.length(x["z"]["m"])).alias("end"), x["z"]["v"].alias("value"))).cast(SPAN)  # noqa: B023
+    return docs.withColumns(out).drop(*found, *sizes, *starts)
+
+
+def _apart(docs: DataFrame, one: str, other: str) -> DataFrame:
+    """docs with those of the spans in ``one`` that no span in ``other`` overlaps: a sweep over all by start, from either end."""
+    order, ends, starts, most, least = (_name() for _ in range(5))
+    far = 1 << 62
+    mark = lambda c, own: F.transform(c, lambda s: F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s["end"].alias("end"), s["ord"].alias("ord"), s["value"].alias("value")))
+    both = (F.size(one) > 0) & (F.size(other) > 0)
+    docs = docs.withColumn(order, F.array_sort(F.when(both, F.concat(mark(one, True), mark(other, False)))))
+    docs = docs.withColumns({ends: F.transform(order, lambda s: F.when(s["own"], 0).otherwise(s["end"])), starts: F.transform(F.reverse(order), lambda s: F.when(s["own"], far).otherwise(s["start"]))})
+    docs = docs.withColumns({most: _running(ends, F.greatest, 0), least: F.reverse(_running(starts, F.least, far))})
+    free = F.filter(F.arrays_zip(F.col(order).alias("s"), F.col(most).alias("most"), F.col(least).alias("least")), lambda x: x["s"]["own"] & (x["most"] <= x["s"]["start"]) & (x["least"] >= x["s"]["end"]))
+    kept = F.transform(free, lambda x: F.struct(x["s"]["start"].alias("start"), x["s"]["ord"].alias("ord"), x["s"]["end"].alias("end"), x["s"]["value"].alias("value"))).cast(SPAN)
+    return docs.withColumn(one, F.when(both, kept).otherwise(F.col(one))).drop(order, ends, starts, most, least)
 
 
 def _digest(spans: Column, names: tuple[str, ...]) -> Column:
@@ -62,14 +108,13 @@ def _digest(spans: Column, names: tuple[str, ...]) -> Column:
 
 def scan(docs: DataFrame, text: str = "text", owner: str = "source", repo: str = "doc_id") -> DataFrame:
     """docs + base and generic (arrays of start, ord, end, value); owner and repo are what the counts go by."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    base = F.concat(*[_spans(t, SCAN[name], i, group, least) for i, (name, _, group, least) in enumerate(KINDS)])
-    base = F.when(t.rlike("[0-9a-f]{16}|AKIA|[:=]"), base).otherwise(F.array().cast("array<struct<start:bigint,ord:int,end:bigint,value:string>>"))
-    generic = F.when(t.rlike(GENERIC), _spans(t, GENERIC, OWNED, 1, 20)).otherwise(F.array().cast("array<struct<start:bigint,ord:int,end:bigint,value:string>>"))
-    docs = docs.withColumns({"base": base, "generic": generic})
+    t, base = _name(), [_name() for _ in KINDS]
+    tests = {"assign": "[:=]", "access": "AKIA", "hex": "[0-9a-f]{16}"}
+    kinds = [(c, tests[name], SCAN[name], i, group, least) for i, (c, (name, _, group, least)) in enumerate(zip(base, KINDS, strict=True))]
+    out = _spans(docs.withColumn(t, F.coalesce(F.col(text), F.lit(""))), t, [*kinds, ("generic", GENERIC, GENERIC, OWNED, 1, 20)])
     mixed = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(v, ""))) >= 10)
-    apart = lambda g: ~F.exists("base", lambda b: (b["start"] < g["end"]) & (g["start"] < b["end"]))
-    return docs.withColumn("generic", F.filter("generic", lambda g: mixed(g["value"]) & apart(g)))
+    out = out.withColumns({"base": F.concat(*base), "generic": F.filter("generic", lambda g: mixed(g["value"]))}).drop(t, *base)
+    return _apart(out, "generic", "base")
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -108,19 +153,25 @@ def spans(docs: DataFrame, **options) -> DataFrame:
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", **options) -> DataFrame:
     """docs with every span of ``spans`` replaced in its text; n_chars follows if there is one. All rows stay."""
-    own = f"x{uuid.uuid4().hex}_"  # columns of docs may bear any name
-    key, row, spans_ = own + "key", own + "row", own + "spans"
+    key, row, spans_, ends, at, blocks = (_name() for _ in range(6))
     found = spans(docs, **options).where(F.size("all") > 0).dropDuplicates(["key", "row_hash"]).select(F.col("key").alias(key), F.col("row_hash").alias(row), F.array_sort("all").alias(spans_))
     on = F.col("d.doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("d.text", "d.source") == F.col(row))
     rows = docs.alias("d").join(found, on, "left")
+    # before each span: the furthest end so far; the text in blocks, as places far inside a long text are slow to reach
+    rows = rows.withColumns({ends: F.transform(spans_, lambda s: s["end"]), blocks: F.when(F.col(spans_).isNotNull(), F.regexp_extract_all("d.text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))})
+    rows = rows.withColumn(at, _running(ends, F.greatest, 0))
+
+    def cut_out(start: Column, end: Column) -> Column:
+        def part(b: Column) -> Column:
+            lo, hi = F.greatest(start - b * BLOCK, F.lit(0)), F.least(end - b * BLOCK, F.lit(BLOCK))
+            return F.substring(F.get(F.col(blocks), b.cast("int")), (lo + 1).cast("int"), (hi - lo).cast("int"))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(F.col("d.text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
-        return F.struct(F.greatest(acc["at"], s["end"].cast("int")).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
+        first, last = F.floor(start / BLOCK), F.floor((end - 1) / BLOCK)
+        return F.when(end > start, F.array_join(F.transform(F.sequence(first, last), part), "")).otherwise("")
 
-    ints = F.transform(spans_, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end")))
-    done = F.aggregate(ints, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col("d.text"), a["at"] + 1, F.length("d.text"))))
-    text = F.when(F.col(spans_).isNull(), F.col("d.text")).otherwise(done)
+    kept = F.transform(F.arrays_zip(F.col(spans_).alias("s"), F.col(at).alias("at")), lambda x: F.when(x["s"]["start"] >= x["at"], F.concat(cut_out(x["at"], x["s"]["start"]), F.lit(mask))).otherwise(""))
+    rest = cut_out(F.array_max(ends), F.length("d.text").cast("long"))
+    text = F.when(F.col(spans_).isNull(), F.col("d.text")).otherwise(F.concat(F.array_join(kept, ""), rest))
     new = {"text": text, "n_chars": F.when(F.col(spans_).isNull(), F.col("d.n_chars")).otherwise(F.length(text).cast("long")) if "n_chars" in docs.columns else None}
     return rows.select(*[new[c].alias(c) if c in new else F.col(f"d.`{c}`") for c in docs.columns])
 
