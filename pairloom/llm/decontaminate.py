@@ -11,7 +11,8 @@ were put in another order still count. A document is contaminated by an item wit
 
 Words are runs of ASCII letters and digits and of all non-ASCII characters, A-Z lower-cased: punctuation and line breaks don't hide a match.
 
-Defined cases: a null or empty text has no tiles; items with fewer than ``least`` words match nothing; null
+Defined cases: a null or empty text has no tiles; very long texts are read whole, stretch by stretch around their seeds; of matches of one length the one that comes first in the document, then in the
+item, is marked first; items with fewer than ``least`` words match nothing; null
 items are ignored; rows that repeat are judged each on their own, and repeated items with one id and one text
 give one row; an empty benchmark gives an empty table.
 """

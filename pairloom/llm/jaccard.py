@@ -24,7 +24,8 @@ compared in full: their documents are dealt into blocks of about ``BLOCK``, and
 pairs of different components and lets only those pass that meet it. Documents with equal sets are one node from
 the start; a task emits the parts of equal sets once.
 
-Defined cases: null and empty texts, and texts of white space, have an empty set and link with nothing; a null id
+Defined cases: null and empty texts, and texts of white space, have an empty set and link with nothing; very long texts are read whole; parts that are shared equally often
+are ordered by key; an empty table gives an empty result; a null id
 is never linked (component null); rows that repeat an id and text are copies of each other; other columns
 are ignored. Nodes are 64-bit fingerprints of sets: among n different sets, n * n / 2**65 pairs
 are mistaken for copies.

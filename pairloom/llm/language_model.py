@@ -15,7 +15,8 @@ second one if it is rare, else the first, and goes to that word's bucket: there
 shuffle. A rare word is a small share of the tokens, so no bucket is heavy; buckets number as the tokens. Blocks of documents travel as packed
 arrays; buckets send back one sum a document.
 
-Defined cases: null and empty texts have 0 tokens and null losses; rows that repeat are counted and scored each; labels that are null don't make
+Defined cases: null and empty texts have 0 tokens and null losses; very long texts are read whole; rows that repeat are counted and scored each; words that are equally
+frequent are chosen by hash, which changes no count; an empty table gives an empty result; labels that are null don't make
 a target; without target documents the target model is the smoothing alone; other columns are ignored.
 """
 
@@ -37,7 +38,7 @@ WORDS = 1 << 19
 MASS = 8.0
 SMALL_SIDE = 1_000_000
 #: broadcast words; documents that choose them; tokens a bucket; bigrams and documents a block
-HOT, SAMPLE, BUCKET, BLOCK, BLOCK_DOCS = 2048, 20_000, 2_000_000, 500_000, 60_000
+HOT, SAMPLE, BUCKET, BLOCK, BLOCK_DOCS = 2048, 20_000, 1_000_000, 500_000, 60_000
 START = np.uint64(1)
 
 
@@ -50,6 +51,20 @@ def tokens(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, before, at
 
 
+def dump(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers as bytes, with five bytes for kind and length before each."""
+    return b"".join(x for a in arrays for x in (a.dtype.char.encode(), len(a).to_bytes(4, "little"), a.tobytes()))
+
+
+def load(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        kind, n = np.dtype(data[at : at + 1].decode()), int.from_bytes(data[at + 1 : at + 5], "little")
+        out.append(np.frombuffer(data, kind, n, at + 5))
+        at += 5 + n * kind.itemsize
+    return out
+
+
 def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
 
@@ -149,7 +164,7 @@ def _blocks(key: str, text: str, shared, buckets: int, block: int):
             word = np.flatnonzero(np.concatenate(([True], rare[first[1:]] != rare[first[:-1]])))
             here, place = np.unique(doc[lo:hi], return_inverse=True)
             body = (rare[first[word]], _small(np.diff(word, append=len(first))), pair[first], hot[first], _small(np.diff(first, append=hi)), _small(here), _small(n[here]), target[here])
-            yield {"bucket": int(bucket[lo]), "block": number, "header": False, "payload": pickle.dumps((*body, _small(place), *(_small(x[lo:hi]) for x in (times, own, gone))), 5)}
+            yield {"bucket": int(bucket[lo]), "block": number, "header": False, "payload": dump(*body, _small(place), *(_small(x[lo:hi]) for x in (times, own, gone)))}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
@@ -205,7 +220,7 @@ def _bucket(shared):
         m = shared.value
         out = [{"block": b, "header": True, "payload": p} for b, p in group.loc[group["header"], ["block", "payload"]].itertuples(index=False)]
         rest = group[~group["header"]]
-        blobs = [pickle.loads(p) for p in rest["payload"]]
+        blobs = [load(p) for p in rest["payload"]]
         if blobs:
             rare = np.unique(np.concatenate([b[0] for b in blobs]))
             pairs = np.unique(np.concatenate([b[2] for b in blobs]))
@@ -234,7 +249,7 @@ def _bucket(shared):
                     some = gone > 0
                     loss[some] += gone[some] * np.log(before[i][w[some]] - (gone * taken[d])[some] + MASS)
                     sums.append(np.bincount(d, loss, len(n)))
-                out.append({"block": number, "header": False, "payload": pickle.dumps((b[5], np.array(sums)), 5)})
+                out.append({"block": number, "header": False, "payload": dump(b[5], *sums)})
         return pd.DataFrame(out, columns=["block", "header", "payload"])
 
     return run
@@ -244,8 +259,8 @@ def _documents(key: str):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         keys, n, sums = pickle.loads(group.loc[group["header"], "payload"].iloc[0])
         for p in group.loc[~group["header"], "payload"]:
-            here, part = pickle.loads(p)
-            sums[:, here] += part
+            here, *part = load(p)
+            sums[:, here] += np.array(part)
         loss = sums / np.where(n > 0, n, np.nan)
         return pd.DataFrame({key: keys, "n_tokens": n, "target_loss": loss[0], "background_loss": loss[1], "difference": loss[0] - loss[1]})
 

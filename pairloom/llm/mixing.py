@@ -6,14 +6,15 @@ their cap and handing the excess to the others by weight, again and again, ends
 one ordered pass over the sources by cap / weight.
 
 Sampling: every document of a source is taken floor(target / size) times, and the rest of the target is
-filled by whole documents in the order of a seeded hash. The order is cut by bucketed sums: hash buckets
-of about ``BUCKET`` documents are added up per source, all buckets below the one where the rest is
+filled by whole documents in the order of a seeded hash of id and text. The order is cut by bucketed sums: hash buckets
+of up to ``BUCKET`` documents are added up per source, all buckets below the one where the rest is
 reached are taken, and only that one bucket is put in order and filled document by document; one exchange of two of its documents then brings the sum
-as near to the target as it can. No source is
+as near to the target as it can. Buckets are found ``STEP`` bits of the hash at a time, inside the bucket of the step before, so a task sees
+2**STEP sums of a source at most, whatever its size. No source is
 ever sorted or gathered as a whole, so a source with a third of all rows costs no more than others.
 
-Defined cases: a null text has size 0; a null source is a source of its own and comes last; rows that
-repeat a doc_id in a source share one decision; a source or table without words has target 0; columns
+Defined cases: a null text has size 0; very long texts are counted whole; a null source is a source of its own and comes last; rows that
+repeat id and text in a source share one decision, rows that repeat the id alone don't; sources that reach their caps at one level keep code point order; a source or table without words has target 0; columns
 other than the three named are ignored.
 """
 
@@ -26,6 +27,7 @@ from .store import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKET = 256
+STEP = 12
 SMALL_SIDE = 100_000
 
 
@@ -57,23 +59,27 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), shar
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, epochs: float = 2.0, seed: int = 17) -> DataFrame:
     """docs(doc_id, text, source, ...) -> (doc_id, source, size, source_size, target, repetitions, taken)."""
-    slim = cut(docs.select("doc_id", "source", word_count("text").alias("size")))
+    slim = cut(docs.select("doc_id", "source", word_count("text").alias("size"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("u")))
     sums = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     per_source = targets(sums, weights, share, epochs).join(sums.drop("source_size").withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     per_source = per_source.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
-    per_source = cut(per_source.withColumn("rest", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")).withColumn("buckets", F.ceil(F.col("n") / BUCKET)))
+    bits = F.greatest(F.ceil(F.log2(F.col("n") / BUCKET)), F.lit(0)).cast("int")
+    per_source = cut(per_source.withColumn("rest", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")).withColumn("bits", bits))
     few = per_source.count() <= SMALL_SIDE
     side = lambda t: F.broadcast(t) if few else t  # noqa: E731  one row per source, its number checked
 
-    u = F.xxhash64(F.col("doc_id"), F.lit(seed))
     rows = slim.join(side(per_source.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    rows = rows.withColumn("u", u).withColumn("bucket", F.pmod(F.shiftrightunsigned(u, 8), F.col("buckets")))
-    filled = rows.where("rest > 0").groupBy("source", "bucket").agg(F.sum("size").alias("sum"), F.first("rest").alias("rest"))
-    run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    filled = filled.withColumn("below", F.coalesce(F.sum("sum").over(run), F.lit(0)))
+    first = lambda k: F.when(F.col(k) > 0, F.expr(f"shiftrightunsigned(u, 64 - {k})")).otherwise(0)
     # one bucket per source is neither taken nor left as a whole
-    last = cut(filled.where("below < rest and below + sum >= rest").select(F.col("source").alias("s"), F.col("bucket").alias("cut"), (F.col("rest") - F.col("below")).alias("gap")))
-    rows = rows.join(side(last), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    last = per_source.where("rest > 0").select(F.col("source").alias("s"), F.lit(0).cast("long").alias("cut"), F.lit(0).alias("known"), F.col("rest").alias("gap"))
+    for step in range(max(1, -(-(per_source.agg(F.max("bits")).first()[0] or 0) // STEP))):
+        inside = rows.join(side(last), F.col("source").eqNullSafe(F.col("s"))).where(first("known") == F.col("cut"))
+        inside = inside.withColumn("next", F.least("bits", F.lit(STEP * (step + 1)))).withColumn("bucket", first("next"))
+        filled = inside.groupBy("source", "bucket").agg(F.sum("size").alias("sum"), F.first("gap").alias("gap"), F.first("next").alias("next"))
+        run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        filled = filled.withColumn("below", F.coalesce(F.sum("sum").over(run), F.lit(0))).where("below < gap and below + sum >= gap")
+        last = cut(filled.select(F.col("source").alias("s"), F.col("bucket").alias("cut"), F.col("next").alias("known"), (F.col("gap") - F.col("below")).alias("gap")))
+    rows = rows.join(side(last), F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumn("bucket", first("bits"))
 
     entries = rows.where("bucket = cut and size > 0").groupBy("source", "u", "doc_id", "gap").agg(F.sum("size").alias("w"))
     chosen = entries.groupBy("source").agg(F.first("gap").alias("gap"), F.array_sort(F.collect_list(F.struct("u", "doc_id", "w"))).alias("list"))

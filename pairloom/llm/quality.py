@@ -6,10 +6,11 @@ a Beta prior that takes it for better than chance, from the counts of all vote p
 The posterior labels then train a linear scorer (logistic regression) on hashed features of the text: trigrams of character
 classes and repeated words, square roots of their shares. The scorer judges every document.
 
-The scorer is fitted on at most ``SAMPLE`` documents, picked by a hash of their id and text; everything else covers all
+The scorer is fitted on at most ``SAMPLE`` different texts, picked by a hash; everything else covers all
 documents.
 
-Defined cases: texts of fewer than three words, null and empty ones among them, get the score 0.5 and are kept; repeated rows score alike;
+Defined cases: texts of fewer than three words, null and empty ones among them, get the score 0.5 and are kept; very long texts are read whole; repeated rows score alike; a score that
+equals the threshold keeps; labellers that tie leave a posterior of one half;
 rows with null ids are scored; other columns pass through ``filter_documents`` untouched; an empty table gives an empty result.
 """
 
@@ -225,9 +226,11 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[np.
     code, counts = np.array([r["code"] for r in found]), np.array([r["n"] for r in found], float)
     patterns = code[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
     share, accuracy, post = estimate(patterns, counts)
-    every = max(1, int(np.ceil(counts.sum() / (0.9 * SAMPLE))))
-    rows = docs.select(text, F.xxhash64(key, text).alias("h")).where(F.pmod("h", F.lit(every)) == 0)
-    rows = rows.mapInPandas(sampled, "h long, code long, x binary").orderBy("h").limit(SAMPLE).toPandas()
+    hashed = docs.select(text, F.xxhash64(text).alias("h"))
+    every = max(1, int(np.ceil(hashed.agg(F.approx_count_distinct("h")).first()[0] / (0.9 * SAMPLE))))
+    # texts, not rows: however often one is copied, it is learned from once
+    picked = hashed.where(F.pmod("h", F.lit(every)) == 0).dropDuplicates(["h"])
+    rows = picked.mapInPandas(sampled, "h long, code long, x binary").orderBy("h").limit(SAMPLE).toPandas()
     label = dict(zip(code.tolist(), post, strict=True))
     if not len(rows):
         return np.zeros(DIM), 0.0, {}

@@ -8,8 +8,9 @@ Training data are labelled rows, toxic or not. Toxic rows get grades 1 to 3 by t
 whose log odds for toxic rows exceed ``MARKER`` with confidence; other rows have grade 0. The model is fitted on at most ``SAMPLE``
 labelled rows, picked by a hash of the id, on features that enough of them have; every document is scored as a whole.
 
-Defined cases: null and empty texts have no features and get the thresholds alone; labels that are null are ignored; rows
-that repeat score alike; without labelled rows of both kinds every document has expected severity 0; other columns are ignored.
+Defined cases: null and empty texts have no features and get the thresholds alone; very long texts are read whole; labels that are null are ignored; of labels that
+differ for one id the toxic one counts; of texts that differ for one id the one with the least hash is learned from; rows that repeat score alike; features that tell equally much are
+chosen by number; an empty table gives an empty result; without labelled rows of both kinds every document has expected severity 0; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -131,7 +132,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     told = told.where(F.pmod(F.xxhash64("k_"), F.lit(every)) == 0).orderBy(F.xxhash64("k_"), "k_").limit(SAMPLE)
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(key, text).join(F.broadcast(told), F.col(key) == F.col("k_")).select(key, text, "y")
+    # one row per id before anything is collected: of several texts the one with the least hash
+    rows = docs.select(key, text).join(F.broadcast(told), F.col(key) == F.col("k_")).groupBy(key, "y").agg(F.min_by(text, F.xxhash64(text)).alias(text))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -159,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 yield pd.DataFrame({"k": part[key], "y": part["y"], "n": n, "f": [feature[a:b].tobytes() for a, b in span], "c": [count[a:b].tobytes() for a, b in span]})
 
     rows = rows.mapInPandas(entries, f"k {kind}, y int, n long, f binary, c binary").toPandas()
-    rows = rows.sort_values(["k", "n"]).drop_duplicates("k", ignore_index=True)
+    rows = rows.sort_values("k", ignore_index=True)
     feature = np.frombuffer(b"".join(rows["f"]), np.int32).astype(np.int64)
     count = np.frombuffer(b"".join(rows["c"]), np.int32)
     row = np.repeat(np.arange(len(rows)), [len(f) // 4 for f in rows["f"]])
