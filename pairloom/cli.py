@@ -274,7 +274,7 @@ class _Run:
         else:
             new = t.header
             wanted = o.columns.split(",") if o.columns else new.columns
-            first = self.spark.read.text(o.path).where("value not like '#%'").first()
+            first = text.without_headers(text.lines(self.spark, o.path), [o.path]).first()
             if first is not None and len(first["value"].split("\t")) != len(wanted):
                 raise SystemExit(f"the rows have {len(first['value'].split(chr(9)))} fields, the header names {len(wanted)}")
         if len(new.columns) != len(t.df.columns):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 import struct
 from collections.abc import Iterator, Sequence
 
@@ -11,11 +12,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .text import leading
+
 FIELDS = "qname string, flag int, rname string, pos long, mapq int, cigar string, rnext string, pnext long, tlen long, seq string, qual string, tags array<string>, record string, place struct<file:string,start:long,n:long>"
 
 
 def read_sam_header(spark: SparkSession, path: str) -> list[str]:
-    return [r["value"] for r in spark.read.text(path, lineSep="\n").where("value like '@%' and value rlike '^@[A-Z][A-Z]\\t'").collect()]
+    """The leading @ lines."""
+    return leading(spark, path, lambda line: re.match(r"@[A-Z][A-Z]\t", line) is not None)
 
 
 def read_sam(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:

@@ -1,14 +1,16 @@
 """Reading and writing pair files, and the small tables that go with them.
 
 Files are read by Spark, so any path that Spark can open will do; .gz is decompressed by extension (one task a file, dealt out
-afterwards), .bgz likewise. The header comes from the first lines, the body is split on tabs, keeping empty fields at the end;
-rows with fewer fields than columns are filled with nulls. Shell commands as (de)compressors and LZ4 frames are not supported and raise.
+afterwards), .bgz likewise. The header is the run of # lines that a file begins with, of which no more than the first split is read; a # line further down is a
+record like any other, unless it equals a header line. The body is split on tabs, keeping empty fields at the end; rows with fewer fields than columns are filled with nulls. Shell commands as (de)compressors and LZ4 frames are not supported and raise.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+import itertools
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, replace
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,13 +57,44 @@ def lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return out
 
 
+def leading(spark: SparkSession, file: str, belongs: Callable[[str], bool], most: int = 1_000_000) -> list[str]:
+    """The first lines of one file up to the first that doesn't belong; more than ``most`` raise. Reads from the file's start, a few lines more than there are."""
+    n = 256
+    while True:
+        rows = [r["value"] for r in spark.read.text(file, lineSep="\n").limit(n).collect()]
+        found = list(itertools.takewhile(belongs, rows))
+        if len(found) > most:
+            raise ValueError(f"more than {most} header lines: {file}")
+        if len(found) < n:
+            return found
+        n = min(8 * n, most + 1)
+
+
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The files of a path, by name."""
+    return sorted(unquote(f) for f in spark.read.text(path).inputFiles())
+
+
+def _is_header(line: str) -> bool:
+    return line.startswith("#")
+
+
 def read_header(spark: SparkSession, path: str, most: int = 1_000_000) -> Header:
-    """The leading # lines of one file; more than ``most`` of them raise."""
-    found = spark.read.text(path, lineSep="\n").where("value like '#%'").limit(most + 1).collect()
-    if len(found) > most:
-        raise ValueError(f"more than {most} header lines: {path}")
-    return Header.parse(r["value"] for r in found)
+    """The leading # lines of a file, or of a folder's first file that has any; more than ``most`` of them raise."""
+    for file in _files(spark, path):
+        if found := leading(spark, file, _is_header, most):
+            return Header.parse(found)
+    return Header(())
+
 
+def without_headers(text: DataFrame, paths: Sequence[str], value: str = "value") -> DataFrame:
+    """The lines of the files but for their header lines."""
+    spark = text.sparkSession
+    heads = sorted({line for p in paths for f in _files(spark, p) for line in leading(spark, f, _is_header)})
+    if len(heads) <= 1000:
+        return text.where(~(F.col(value).startswith("#") & F.col(value).isin(heads))) if heads else text
+    table = F.broadcast(spark.createDataFrame([(h,) for h in heads], "h_ string"))  # as many as ``leading`` lets through
+    return text.join(table, F.col(value) == F.col("h_"), "left_anti")
 
 
 def body(text: DataFrame, columns: Sequence[str], types: Mapping[str, str] | None = None, value: str = "value", keep: Sequence[str] = ()) -> DataFrame:
@@ -71,7 +104,7 @@ def body(text: DataFrame, columns: Sequence[str], types: Mapping[str, str] | Non
     for i, c in enumerate(columns):
         kind = (types or {}).get(c) or column_type(c).simpleString()
         cols.append(F.get(parts, F.lit(i)).try_cast(kind).alias(c))
-    return text.where(~F.col(value).startswith("#") & (F.col(value) != "")).select(*cols, *keep)
+    return text.where(F.col(value) != "").select(*cols, *keep)
 
 
 def read_pairs(spark: SparkSession, path: str, columns: Sequence[str] | None = None, types: Mapping[str, str] | None = None, ordinal: str | None = None, cmd_in: str | None = None) -> PairsTable:
@@ -80,7 +113,7 @@ def read_pairs(spark: SparkSession, path: str, columns: Sequence[str] | None = N
         raise ValueError("shell commands are not supported; use a codec that Spark reads")
     header = read_header(spark, path)
     names = list(columns or header.columns or PAIRS)
-    text = lines(spark, path)
+    text = without_headers(lines(spark, path), [path])
     keep = []
     if ordinal:
         keep = [F.struct("file", "start", "place").alias(ordinal)]

@@ -125,6 +125,27 @@ def test_bam_equals_sam(spark, tmp_path):
     assert sam.read_sam_header(spark, str(tmp_path / "a.sam")) == ["@SQ\tSN:chr1\tLN:100"]
 
 
+def test_only_leading_lines_are_a_header(spark, tmp_path):
+    """A # line further down is a record."""
+    body = BODY + "#odd\tchr1\t5\tchr2\t7\t+\t-\tUU\n"
+    t = text.read_pairs(spark, write(tmp_path / "a.pairs", Header.standard(SIZES).render() + body))
+    assert len(t.header.lines) == len(Header.standard(SIZES).lines) and sorted(r.readID for r in t.df.collect()) == ["#odd", "r1", "r2", "r3"]
+    again = text.PairsTable(t.df, t.header)
+    text.write_pairs(again, str(tmp_path / "parts"))
+    assert text.read_parts(spark, str(tmp_path / "parts")).df.count() == 4
+    (tmp_path / "two").mkdir()
+    for name, head in (("1", "#command: x\n"), ("2", "#command: y\n")):
+        write(tmp_path / "two" / name, Header.standard(SIZES).render() + head + body)
+    both = text.read_pairs(spark, str(tmp_path / "two"))
+    assert both.df.count() == 8 and both.header.lines[-1] == "#command: x"
+
+
+def test_a_long_header_is_read_in_a_few_steps(spark, tmp_path):
+    sizes = {f"chr{i}": i + 1 for i in range(3000)}
+    t = text.read_pairs(spark, write(tmp_path / "a.pairs", Header.standard(sizes).render() + BODY))
+    assert t.header.chromsizes == sizes and t.df.count() == 3
+
+
 def test_a_header_beyond_the_bound_is_refused(spark, tmp_path):
     path = write(tmp_path / "long.pairs", "#a\n#b\n#columns: readID\n")
     assert text.read_header(spark, path, most=3).columns
