@@ -267,12 +267,12 @@ simple("scaling_unity", lambda d: scaling.normalise_unity(scaling.frequencies(sc
 
 
 def queries() -> dict[str, Query]:
-    from . import extra
+    from . import extra, tables
 
-    return QUERIES | extra.QUERIES
+    return QUERIES | extra.QUERIES | tables.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import extra
+    from . import extra, tables
 
-    return ORACLES | extra.ORACLES
+    return ORACLES | extra.ORACLES | tables.ORACLES

@@ -112,13 +112,15 @@ def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_parts(spark, path, {"mapq1": "bigint", "mapq2": "bigint"}).df
 
 
-@query("scan_routes", f"{P} SELECT * FROM pairs WHERE NOT ({MAPPED})")
+@query("scan_routes", f"{P} SELECT *, CASE WHEN {MAPPED} THEN 'main' ELSE 'unmapped' END AS route FROM pairs")
 def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both routes, each written to a path of its own and read from there."""
     df = pairs(spark, sf_dir)
-    path = _folder(spark)
+    paths = {"main": _folder(spark), "unmapped": _folder(spark)}
     routed = df.withColumn("route", F.when((F.col("chrom1") == "!") | (F.col("chrom2") == "!"), "unmapped").otherwise("main"))
-    files.write_routes(routed, Header.standard(columns=df.columns), {"unmapped": path})
-    return files.read_parts(spark, path, {"mapq1": "bigint", "mapq2": "bigint"}).df
+    files.write_routes(routed, Header.standard(columns=df.columns), paths)
+    one, two = (files.read_parts(spark, path, {"mapq1": "bigint", "mapq2": "bigint"}).df.withColumn("route", F.lit(route)) for route, path in paths.items())
+    return one.unionByName(two)
 
 
 def _sorted_gzip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,9 +131,7 @@ def _sorted_gzip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_pairs(spark, path, types={"mapq1": "bigint", "mapq2": "bigint"}).df
 
 
-# all pairs are sorted and written for both; the first one's SQL tells some of them
-query("sort_gzip", f"{P} SELECT * FROM pairs WHERE mapq2 = 2")(lambda spark, d: _sorted_gzip(spark, d).where("mapq2 = 2"))
-query("sort_gzip_all", f"{P} SELECT * FROM pairs")(_sorted_gzip)
+query("sort_gzip", f"{P} SELECT * FROM pairs")(_sorted_gzip)
 
 
 # -- streams
