@@ -19,6 +19,9 @@ from .sources.header import Header, merge_headers, transfer
 from .sources.text import PairsTable
 
 
+DEDUP_COLUMNS = {"c1": "chrom1", "c2": "chrom2", "p1": "pos1", "p2": "pos2", "s1": "strand1", "s2": "strand2"}
+
+
 def _parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="pairloom")
     commands = top.add_subparsers(dest="command", required=True)
@@ -39,6 +42,7 @@ def _parser() -> argparse.ArgumentParser:
         p.add_argument("--max-inter-align-gap", type=int, default=20)
         p.add_argument("--add-columns", default="")
         p.add_argument("--flip", action=argparse.BooleanOptionalAction, default=name == "parse")
+        p.add_argument("--readid-transform", help="an expression in readID, such as readID[:-2] + '_x'")
         for flag in ("--drop-readid", "--drop-seq", "--drop-sam", "--add-pair-index"):
             p.add_argument(flag, action="store_true")
         p.add_argument("--output-stats")
@@ -83,6 +87,11 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--mark-dups", action="store_true")
     p.add_argument("--keep-parent-id", action="store_true")
     p.add_argument("--extra-col-pair", nargs=2, action="append", default=[])
+    for option, default in DEDUP_COLUMNS.items():
+        p.add_argument(f"--{option}", default=default)
+    p.add_argument("--unmapped-chrom", default="!")
+    p.add_argument("--yaml", action="store_true")
+    p.add_argument("--filter", action="append", default=[], help="NAME:CONDITION")
     p = command("flip")
     p.add_argument("-c", "--chroms-path", required=True)
     command("markasdup")
@@ -108,9 +117,13 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--max-dist", type=int, default=500)
     p.add_argument("--method", choices=("max", "sum"), default="max")
     p.add_argument("--mark-multi", action="store_true")
+    p.add_argument("--output-stats")
     p = command("stats", "paths", many=True)
     p.add_argument("--merge", action="store_true")
     p.add_argument("--yaml", action="store_true")
+    p.add_argument("--with-chromsizes", action=argparse.BooleanOptionalAction, default=True)
+    p.add_argument("--n-dist-bins-decade", type=int, default=8)
+    p.add_argument("--output-bytile-stats")
     p.add_argument("--filter", action="append", default=[], help="NAME:CONDITION")
     p = command("scaling")
     p.add_argument("--view")
@@ -154,6 +167,7 @@ class _Run:
         chroms = [c for c in text.chrom_order(sizes, named) if c != "!"]
         common = {k: getattr(o, k) for k in ("min_mapq", "max_inter_align_gap", "flip", "drop_readid", "drop_seq", "drop_sam", "add_pair_index")}
         common["add_columns"] = [c for c in o.add_columns.split(",") if c]
+        common["readid"] = o.readid_transform
         if o.command == "parse":
             common |= {k: getattr(o, k) for k in ("max_molecule_size", "walks_policy", "report_alignment_end")}
         else:
@@ -196,16 +210,29 @@ class _Run:
     def _routes(self, routed: DataFrame, header: Header, paths: dict[str, str | None]) -> None:
         text.write_routes(routed, (header if not header.is_empty else Header.standard(columns=routed.columns)).add_program(self.o.command), {k: v for k, v in paths.items() if v})
 
+    def _statistics(self, trees: dict, path: str, yaml: bool) -> None:
+        """The first tree as lines of key and value, or all of them as YAML."""
+        _report(self.spark, text.render_yaml(trees) if yaml else text.render_stats(next(iter(trees.values()))), path)
+
     def dedup(self) -> None:
         o, t = self.o, self.read()
+        own = {getattr(o, option): name for option, name in DEDUP_COLUMNS.items() if getattr(o, option) != name}
+        if set(own.values()) & set(t.df.columns):
+            raise SystemExit(f"the table has columns of these names besides the ones given: {sorted(set(own.values()) & set(t.df.columns))}")
+        df = t.df.withColumnsRenamed(own)
+        df = df.withColumns({c: F.col(c).try_cast("long") for c in ("pos1", "pos2")})
         extra = [tuple(e) for e in o.extra_col_pair]
-        out = dedup.deduplicate(t.df, o.max_mismatch, o.method, o.rule, extra)
+        order_ = [c for c in dedup.ORDER if c in df.columns]
+        out = dedup.deduplicate(df, o.max_mismatch, o.method, o.rule, extra, order_, o.unmapped_chrom)
         tiles = stats.bytile_duplicates(out.where("route = 'dups'")) if o.output_bytile_stats else None
-        marked = dedup.marked(out, sam="sam1" in t.df.columns)
-        final = marked if o.mark_dups else out
+        marked = dedup.marked(out, sam="sam1" in df.columns)
+        final = (marked if o.mark_dups else out).withColumnsRenamed({v: k for k, v in own.items()})
         self._routes(final if o.keep_parent_id else final.drop("parent_readID"), t.header, {"nodups": o.output, "dups": o.output_dups, "unmapped": o.output_unmapped})
         if o.output_stats:
-            _report(self.spark, text.render_stats(stats.nested(stats.long_table(marked))), o.output_stats)
+            filters = dict(f.split(":", 1) for f in o.filter)
+            unmapped = {c: F.when(F.col(c) == o.unmapped_chrom, "!").otherwise(F.col(c)) for c in ("chrom1", "chrom2")}
+            long = stats.long_table(marked.withColumns(unmapped), filters)
+            self._statistics({n: stats.nested(long, n, tiles if n == stats.NO_FILTER else None) for n in [stats.NO_FILTER, *filters]}, o.output_stats, o.yaml)
         if tiles is not None:
             _table(tiles, o.output_bytile_stats)
 
@@ -241,20 +268,35 @@ class _Run:
         o, t = self.o, self.read()
         routed = coverage.filter_by_coverage(t.df, o.max_cov, o.max_dist, o.method, mark_multi=o.mark_multi)
         self._routes(routed, t.header, {"low": o.output, "high": o.output_highcov, "unmapped": o.output_unmapped})
+        if o.output_stats:
+            self._statistics({stats.NO_FILTER: stats.nested(stats.long_table(routed.withColumn("pair_type", F.when(F.col("route") == "high", "DD").otherwise(F.col("pair_type")))))}, o.output_stats, False)
 
     def stats(self) -> None:
         o = self.o
         filters = dict(f.split(":", 1) for f in o.filter)
+        tiles = None
         if o.merge:
-            tables = [text.read_stats(self.spark, p).where("key not like 'summary/%'").select(F.lit(stats.NO_FILTER).alias("filter"), "key", F.col("value").try_cast("long").alias("value")).where("value is not null") for p in o.paths]
-            long = stats.merge(tables)
+            found = [text.read_stats(self.spark, p).where("key not like 'summary/%'").select(F.lit(stats.NO_FILTER).alias("filter"), "key", F.col("value").try_cast("long").alias("value")).where("value is not null") for p in o.paths]
+            sizes = stats.merge_chromsizes([{r["key"].split("/", 1)[1]: r["value"] for r in t.where("key like 'chromsizes/%'").collect()} for t in found])
+            long = stats.merge([t.where("key not like 'chromsizes/%'") for t in found])
         else:
-            long = stats.merge([stats.long_table(self.read(p).df, filters) for p in o.paths])
+            tables = [self.read(p) for p in o.paths]
+            sizes = stats.merge_chromsizes([t.header.chromsizes for t in tables])
+            edges = stats.distance_edges(o.n_dist_bins_decade)
+            long = stats.merge([stats.long_table(t.df, filters, edges) for t in tables])
+            if o.output_bytile_stats:
+                dups = [t.df.where("pair_type = 'DD'") for t in tables]
+                if any("parent_readID" not in d.columns for d in dups):
+                    raise SystemExit("duplicates by tile need the column parent_readID")
+                pairs = dups[0].select("readID", "parent_readID")
+                for d in dups[1:]:
+                    pairs = pairs.unionByName(d.select("readID", "parent_readID"))
+                tiles = stats.bytile_duplicates(pairs)
+                _table(tiles, o.output_bytile_stats)
         names = [stats.NO_FILTER, *filters]
-        if o.yaml:
-            _report(self.spark, text.render_yaml({n: stats.nested(long, n) for n in names}), o.output)
-        else:
-            _report(self.spark, text.render_stats(stats.nested(long, names[0] if not filters else names[1])), o.output)
+        sizes = sizes if o.with_chromsizes else None
+        trees = {n: stats.nested(long, n, tiles if n == stats.NO_FILTER else None, sizes) for n in (names if o.yaml or not filters else names[1:])}
+        self._statistics(trees, o.output, o.yaml)
 
     def scaling(self) -> None:
         o, t = self.o, self.read()

@@ -77,7 +77,12 @@ METHODS: dict[str, Callable] = {
     "upper": F.upper,
     "lower": F.lower,
     "strip": lambda x, chars=None: F.trim(x) if chars is None else F.btrim(x, F.lit(chars)),
+    "replace": lambda x, old, new: F.replace(x, F.lit(old), F.lit(new)),
+    "split": lambda x, sep: F.split(x, re.escape(sep), -1),
 }
+#: columns and calls that give texts, for which + joins
+TEXTS = {"readID", "chrom1", "chrom2", "strand1", "strand2", "pair_type", "sam1", "sam2"}
+TEXT_CALLS = {"str", "upper", "lower", "strip", "replace"}
 _COMPARE = {ast.Eq: "__eq__", ast.NotEq: "__ne__", ast.Lt: "__lt__", ast.LtE: "__le__", ast.Gt: "__gt__", ast.GtE: "__ge__"}
 _ARITHMETIC = {
     ast.Add: lambda a, b: a + b,
@@ -126,6 +131,8 @@ class _Compiler:
                 return -inner
             if isinstance(node.op, ast.UAdd):
                 return inner
+        if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Add) and self.is_text(node):
+            return F.concat(_column(self.value(node.left)), _column(self.value(node.right)))
         if isinstance(node, ast.BinOp) and type(node.op) in _ARITHMETIC:
             return _ARITHMETIC[type(node.op)](_column(self.value(node.left)), _column(self.value(node.right)))
         if isinstance(node, ast.BoolOp):
@@ -174,7 +181,31 @@ class _Compiler:
             raise self.fail(node, "not supported")
         return getattr(_column(a), _COMPARE[type(op)])(b)
 
+    def is_text(self, node: ast.AST) -> bool:
+        if isinstance(node, ast.Constant):
+            return isinstance(node.value, str)
+        if isinstance(node, ast.Name):
+            return self.types.get(node.id, "string") == "string" and node.id in TEXTS
+        if isinstance(node, ast.BinOp):
+            return isinstance(node.op, ast.Add) and (self.is_text(node.left) or self.is_text(node.right))
+        if isinstance(node, ast.Call):
+            return getattr(node.func, "id", getattr(node.func, "attr", None)) in TEXT_CALLS
+        return isinstance(node, ast.Subscript)  # COLS, letters, slices and split parts alike
+
+    def part(self, node: ast.Subscript) -> Column:
+        """text[a:b]"""
+        ends = [None if e is None else ast.literal_eval(e) for e in (node.slice.lower, node.slice.upper)]
+        if node.slice.step is not None or not all(e is None or type(e) is int for e in ends):
+            raise self.fail(node, "a slice has whole numbers and no step")
+        text = _column(self.value(node.value))
+        place = lambda e: F.lit(e) if e >= 0 else F.greatest(F.length(text) + e, F.lit(0))
+        first = place(ends[0] or 0)
+        last = F.length(text) if ends[1] is None else place(ends[1])
+        return F.substring(text, first + 1, F.greatest(last - first, F.lit(0)))
+
     def subscript(self, node: ast.Subscript) -> Column:
+        if isinstance(node.slice, ast.Slice):
+            return self.part(node)
         if not isinstance(node.slice, (ast.Constant, ast.UnaryOp)) or not isinstance(i := ast.literal_eval(node.slice), int):
             raise self.fail(node, "index must be a number")
         if isinstance(node.value, ast.Name) and node.value.id == "COLS":
@@ -182,6 +213,8 @@ class _Compiler:
                 return F.col(f"`{self.columns[i]}`").cast("string")
             except IndexError:
                 raise self.fail(node, "no such column") from None
+        if isinstance(node.value, ast.Call) and getattr(node.value.func, "attr", None) == "split":
+            return F.try_element_at(self.value(node.value), F.lit(i + 1 if i >= 0 else i))
         return F.substring(_column(self.value(node.value)), i + 1 if i >= 0 else i, 1)
 
     def call(self, node: ast.Call):
@@ -206,6 +239,15 @@ def compile_condition(condition: str, columns: list[str], types: Mapping[str, st
     return F.coalesce(test, F.lit(False)) if total else test
 
 
+def compile_value(expression: str, columns: list[str], types: Mapping[str, str] | None = None, functions: Mapping[str, Callable] | None = None) -> Column:
+    """An expression such as ``readID[:-2] + '_x'`` as a column."""
+    try:
+        tree = ast.parse(expression.strip(), mode="eval").body
+    except SyntaxError as error:
+        raise ConditionError(f"cannot be read: {expression}") from error
+    return _column(_Compiler(list(columns), types or {}, functions or {}).value(tree))
+
+
 def select(df: DataFrame, condition: str, types: Mapping[str, str] | None = None, functions: Mapping[str, Callable] | None = None) -> DataFrame:
     return df.where(compile_condition(condition, df.columns, types, functions, total=False))
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.conditions import compile_value
 from ..schema import RECORD_SEP, SAM_SEP
 from . import walks
 from .walks import Segment
@@ -85,8 +86,8 @@ def _mismatches(cigar: pd.Series, seq: pd.Series, qual: pd.Series, md: pd.Series
     return pd.Series(out)
 
 
-def alignments(records: DataFrame, min_mapq: int = 1, tags: Sequence[str] = (), store_seq: bool = False, mismatches: bool = False, readid: Column | None = None) -> DataFrame:
-    """records -> (readID, side, algn): typed alignments."""
+def alignments(records: DataFrame, min_mapq: int = 1, tags: Sequence[str] = (), store_seq: bool = False, mismatches: bool = False, readid: Column | str | None = None) -> DataFrame:
+    """records -> (readID, side, algn): typed alignments. readid: what becomes of a name, as a column or an expression in readID."""
     flag = lambda bit: F.col("flag").bitwiseAND(F.lit(bit)) != 0
     t = records.withColumn("m", cigar_metrics(F.coalesce("cigar", F.lit("*"))))
     mapped = ~flag(4)
@@ -126,7 +127,11 @@ def alignments(records: DataFrame, min_mapq: int = 1, tags: Sequence[str] = (),
         kept.alias("tags"),
         F.col("record").alias("record"),
     )
-    name = F.col("qname") if readid is None else readid
+    if isinstance(readid, str):
+        renamed = t.withColumn("readID", F.col("qname"))
+        t, name = renamed, compile_value(readid, ["readID"])
+    else:
+        name = F.col("qname") if readid is None else readid
     return t.select(name.alias("readID"), F.when(flag(0x40), 1).otherwise(2).alias("side"), algn.alias("algn"))
 
 
@@ -192,7 +197,7 @@ def parse(
     drop_sam: bool = False,
     add_pair_index: bool = False,
     add_columns: Sequence[str] = (),
-    readid: Column | None = None,
+    readid: Column | str | None = None,
     mode: str = "parse",
     **more,
 ) -> DataFrame:

@@ -191,15 +191,15 @@ def optical_from_tiles(bytile: DataFrame) -> DataFrame:
     return bytile.agg(F.count("*").alias("n_tile_pairs"), F.round(F.median("dup_count") * F.count("*")).cast("long").alias("dups_by_tile_median"))
 
 
-def long_table(df: DataFrame, filters: Mapping[str, str] | None = None) -> DataFrame:
-    """(filter, key, value): all counters under their slash-separated keys."""
+def long_table(df: DataFrame, filters: Mapping[str, str] | None = None, edges: list[int] | None = None) -> DataFrame:
+    """(filter, key, value): all counters under their slash-separated keys; edges: of the distance bins, where they are not the usual ones."""
     t = totals(df, filters)
     names = [c for c in t.columns if c != "filter"]
     flat = t.select("filter", F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(f"`{c}`").alias("value")) for c in names])).alias("x")).select("filter", "x.*")
     types = pair_types(df, filters).select("filter", F.concat(F.lit("pair_types/"), "pair_type").alias("key"), F.col("n").alias("value"))
     chroms = chrom_freq(df, filters).select("filter", F.concat_ws("/", F.lit("chrom_freq"), "chrom1", "chrom2").alias("key"), F.col("n").alias("value"))
     span = F.when(F.col("max_dist").isNull(), F.concat(F.col("min_dist").cast("string"), F.lit("+"))).otherwise(F.concat_ws("-", F.col("min_dist").cast("string"), F.col("max_dist").cast("string")))
-    dist = dist_freq(df, filters).select("filter", F.concat_ws("/", F.lit("dist_freq"), span, "strands").alias("key"), F.col("n").alias("value"))
+    dist = dist_freq(df, filters, edges).select("filter", F.concat_ws("/", F.lit("dist_freq"), span, "strands").alias("key"), F.col("n").alias("value"))
     return flat.unionByName(types).unionByName(chroms).unionByName(dist)
 
 
@@ -212,8 +212,19 @@ def merge(tables: Iterable[DataFrame]) -> DataFrame:
     return both.groupBy("filter", "key").agg(F.sum("value").alias("value"))
 
 
-def nested(long: DataFrame, name: str = NO_FILTER) -> dict:
-    """One filter's long table as a nested dict, with its summary; runs on the driver over a small table."""
+def merge_chromsizes(tables: Iterable[Mapping[str, int]]) -> dict[str, int]:
+    """The sizes that all statistics agree on; those that record none agree with any."""
+    told = [dict(t) for t in tables if t]
+    if any(t != told[0] for t in told[1:]):
+        raise ValueError("statistics with different chromosome sizes can't be merged")
+    return told[0] if told else {}
+
+
+def nested(long: DataFrame, name: str = NO_FILTER, bytile: DataFrame | None = None, chromsizes: Mapping[str, int] | None = None) -> dict:
+    """One filter's long table as a nested dict, with its summary; runs on the driver over a small table.
+
+    With duplicates by tile the summary tells a complexity without optical ones besides: those beyond the median count, taken for all tile pairs.
+    """
     out: dict = {}
     for row in long.where(F.col("filter") == name).orderBy("key").collect():
         at = out
@@ -229,7 +240,14 @@ def nested(long: DataFrame, name: str = NO_FILTER) -> dict:
     s = out["summary"] = {f"frac_{c}": out.get(c, 0) / nodups if nodups else 0 for c in ["cis", *[f"cis_{kb}kb+" for kb in CIS_KB]]}
     s["dist_freq_convergence"] = convergence(hist, out.get("cis", 0), mapped, nodups)
     s["frac_dups"] = out.get("total_dups", 0) / mapped if mapped else 0
-    s["complexity_naive"] = library_complexity(mapped, out.get("total_dups", 0))
+    dups = out.get("total_dups", 0)
+    s["complexity_naive"] = library_complexity(mapped, dups)
+    tiles = optical_from_tiles(bytile).first() if bytile is not None else None
+    if tiles is not None and tiles["n_tile_pairs"]:
+        out["dups_by_tile_median"] = tiles["dups_by_tile_median"]
+        s["complexity_dups_by_tile_median"] = library_complexity(mapped, dups, dups - tiles["dups_by_tile_median"])
+    if chromsizes:
+        out["chromsizes"] = dict(chromsizes)
     return out
 
 

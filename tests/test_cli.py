@@ -61,6 +61,46 @@ def test_parsing_commands(spark, files):
         assert "@SQ\tSN:chr1\tLN:100" in table.header.samheader
 
 
+def keyed(spark, path):
+    return {r.key: r.value for r in text.read_stats(spark, path).collect()}
+
+
+def test_options_of_statistics(spark, files):
+    one = keyed(spark, run(spark, files, "stats", "@a.pairs", "--n-dist-bins-decade", "2"))
+    assert one["chromsizes/chr1"] == "100" and sum(k.startswith("dist_freq/") for k in one) == 4 * len({0, *(round(10 ** (k / 2)) for k in range(19))})
+    out = run(spark, files, "stats", "@a.pairs", "--no-with-chromsizes")
+    assert not any(k.startswith("chromsizes") for k in keyed(spark, out))
+    with_sizes = run(spark, files, "stats", "@a.pairs")
+    assert keyed(spark, run(spark, files, "stats", "--merge", out, with_sizes))["chromsizes/chr1"] == "100"
+    (files / "other").write_text("total\t1\nchromsizes/chr1\t7\n")
+    with pytest.raises(ValueError):
+        run(spark, files, "stats", "--merge", with_sizes, "@other")
+    run(spark, files, "filterbycov", "@a.pairs", "--max-cov", "2", "--max-dist", "1", "--output-stats", "@cov")
+    assert keyed(spark, str(files / "cov"))["total"] == "4" and keyed(spark, str(files / "cov"))["total_dups"] == "1"
+
+
+def test_dedup_with_columns_of_other_names(spark, files):
+    names = ["readID", "chr1", "p1", "chr2", "p2", "str1", "str2", "pair_type"]
+    body = "".join("\t".join(map(str, r)).replace("!", "none") + "\n" for r in ROWS)
+    (files / "b.pairs").write_text(Header.standard({"chr1": 100}, columns=names).render() + body)
+    given = ["--c1", "chr1", "--c2", "chr2", "--p1", "p1", "--p2", "p2", "--s1", "str1", "--s2", "str2", "--unmapped-chrom", "none"]
+    out = run(spark, files, "dedup", "@b.pairs", *given, "--output-dups", "@dups", "--output-unmapped", "@un", "--output-stats", "@st", "--output-bytile-stats", "@ti", "--filter", "near:abs(pos1 - pos2) < 5", "--yaml")
+    table = text.read_parts(spark, out)
+    assert table.df.columns == names and sorted(ids(spark, out)) == ["r1", "r3"] and ids(spark, str(files / "dups")) == ["r2"] and ids(spark, str(files / "un")) == ["r4"]
+    tree = text.parse_yaml("\n".join(r.value for r in spark.read.text(str(files / "st")).collect()))
+    assert tree["no_filter"]["total_dups"] == 1 and tree["near"]["total"] == 1 and tree["no_filter"]["dups_by_tile_median"] == 1 and "complexity_dups_by_tile_median" in tree["no_filter"]["summary"]
+
+
+def test_names_are_transformed(spark, files):
+    lines = SAM.replace("\na\t65", "\na/1\t65").replace("\na\t129", "\na/2\t129")
+    (files / "b.sam").write_text(lines)
+    out = run(spark, files, "parse", "@b.sam", "-c", "@sizes", "--drop-sam", "--readid-transform", "readID[:-2] + '_x'")
+    assert [r.readID for r in text.read_parts(spark, out).df.collect()] == ["a_x"]
+    assert len(ids(spark, run(spark, files, "parse", "@b.sam", "-c", "@sizes", "--drop-sam", "--readid-transform", "readID.split('/')[0]"))) == 1
+    with pytest.raises(ValueError):
+        run(spark, files, "parse", "@b.sam", "-c", "@sizes", "--readid-transform", "readID + str(i)")
+
+
 @pytest.mark.parametrize("argv", [["select", "nothing == 1", "x", "-o", "y"], ["sort", "x", "--nproc", "8", "-o", "y"], ["nonsense"]])
 def test_refused(spark, argv, files):
     with pytest.raises((SystemExit, Exception)):
