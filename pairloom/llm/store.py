@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests on one machine) a folder of our own."""
+    """spark.checkpoint.dir of the session; where it is unset, on one machine a folder of our own, on a cluster an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pairloom-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pairloom-"))
     return context.getCheckpointDir()
 
 
@@ -40,3 +43,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def forget(staged_: DataFrame) -> None:
+    """Deletes a table that ``staged`` wrote, once nothing reads it any more."""
+    spark = staged_.sparkSession
+    for folder in {f.rpartition("/")[0] for f in staged_.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -222,36 +222,30 @@ def test_no_pair_of_a_hot_label_is_missed(spark):
 
 
 def plain_tiles(a, b, least):
-    """Greedy string tiling by definition."""
-    free_a, free_b, covered = [True] * len(a), [True] * len(b), 0
+    """Greedy string tiling by definition; of matches of one length the first in b, then in a."""
+    free_a, free_b, out = [True] * len(a), [True] * len(b), []
     while True:
         best = None
-        for i in range(len(a)):
-            for j in range(len(b)):
+        for j in range(len(b)):
+            for i in range(len(a)):
                 n = 0
                 while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and free_a[i + n] and free_b[j + n]:
                     n += 1
-                if n >= least and (best is None or n > best[0]):
-                    best = (n, i, j)
+                if n >= least and (best is None or n > best[2]):
+                    best = (i, j, n)
         if best is None:
-            return covered
-        n, i, j = best
-        for k in range(n):
-            free_a[i + k] = free_b[j + k] = False
-        covered += n
+            return out
+        out.append(best)
+        for k in range(best[2]):
+            free_a[best[0] + k] = free_b[best[1] + k] = False
 
 
 def test_tiles():
     r = random.Random(2)
-    for _ in range(150):
+    for _ in range(200):
         a = [r.randrange(4) for _ in range(r.randrange(1, 25))]
         b = [r.randrange(4) for _ in range(r.randrange(1, 25))]
-        found = decontaminate.tiles(np.array(a, np.uint64), np.array(b, np.uint64), 3)
-        for s, t, n in found:
-            assert n >= 3 and a[s : s + n] == b[t : t + n]
-        assert len({x for s, _, n in found for x in range(s, s + n)}) == sum(n for _, _, n in found)
-        # ties may be broken in another way, which can change a few words
-        assert abs(sum(n for _, _, n in found) - plain_tiles(a, b, 3)) <= 4 and bool(found) == (plain_tiles(a, b, 3) > 0)
+        assert decontaminate.tiles(np.array(a, np.uint64), np.array(b, np.uint64), 3) == plain_tiles(a, b, 3)
 
 
 def test_contamination(spark):
@@ -648,3 +642,53 @@ def test_every_word_and_bigram_has_its_own_count(spark, hot):
             size = n - sum(own[0].values())
             plain = -np.mean([np.log((pair((v, w)) + M * (uni(w) + 1) / (size + W)) / (hist(v) + M)) for v, w in of(i)])
             assert out[i][name] == pytest.approx(plain, rel=1e-9)
+
+
+# -- odd tables for all
+
+
+LONG = " ".join(f"w{i % 9000}" for i in range(150_000))
+TWICE = [(1, "one two three four five six", "en", "s", 27), (1, "one two three four five six", "en", "s", 27), (2, LONG, "en", "s", len(LONG)), (None, "one two three four five six", "en", "s", 27), (1, "another text of the same id", "en", "s", 27)]
+
+
+def test_repeated_ids_and_long_texts(spark):
+    df = docs(spark, TWICE, clash=True)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (None, None, None)], "doc_id long, quality int, toxic int")
+    assert Counter(x.doc_id for x in toxicity.score(df, labels).collect()) == {1: 3, 2: 1, None: 1}
+    losses = language_model.score(df, labels).collect()
+    assert Counter((x.doc_id, x.n_tokens) for x in losses) == {(1, 6): 3, (2, 150_000): 1, (None, 6): 1} and len({x.background_loss for x in losses if x.doc_id == 1}) == 2
+    assert Counter(x.doc_id for x in quality.score(df).collect()) == {1: 3, 2: 1, None: 1}
+    bench = spark.createDataFrame([(7, "one two three four five six"), (7, "one two three four five six"), (8, " ".join(LONG.split()[5000:5200]))], "item_id long, text string")
+    found = Counter((x.doc_id, x.item_id) for x in decontaminate.contaminated(df, bench).collect())
+    assert found == {(1, 7): 2, (None, 7): 1, (2, 8): 1}
+    out = mixing.mix(df).collect()
+    assert len(out) == 5 and all(0 <= x.taken <= 2 * x.size for x in out)
+    assert [secrets.spans(t).count() for t in (df, df.limit(0))] == [5, 0] and secrets.redact(df.limit(0)).count() == 0
+
+
+def test_repeated_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.1], 1)], "vec_id long, embedding array<double>, label int")
+    assert sorted((x.vec_id, x.n_links, x.component_id) for x in embeddings.near_duplicates(df).collect()) == [(1, 0, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1)]
+
+
+def test_tokens_of_many_scripts_and_models(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    counter = tokens.Lookup(path)
+    r = random.Random(5)
+    texts = [" ".join(r.choices(["plain", "words", "中文字", "😀", "क्षत्रिय", "١٢٣", "naïve", "<|endoftext|>", "x\u3000y", "\n"], k=60)) for _ in range(150)]
+    expected = [len(e) for e in counter.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    known = tokens.Tier(counter.frequent(iter(texts[:20])))
+    assert counter.count(texts, known) == expected == counter.count(texts, tokens.Tier())
+    assert counter.pieces("plain words 中文字 plain<|endoftext|> words") == (1, ["plain", " words", " words"], [" 中文字 plain"])
+    assert tokens.lookup(path) is tokens.lookup(path)  # outlives a task
+
+
+def test_cache_turns_over(monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(tokens, "CACHE", 50)
+    counter = tokens.Lookup(public_tokenizers.path("byte_bpe_50k.json"))
+    r = random.Random(6)
+    for _ in range(30):
+        texts = [" ".join(f"wort{int(r.paretovariate(0.7))}" for _ in range(40))]
+        assert counter.count(texts, tokens.Tier()) == [len(counter.tokenizer.encode(texts[0]).ids)] and len(counter.young) <= 100

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pairloom.llm.store import staged
@@ -53,3 +54,16 @@ def test_run_gives_the_last_stage(spark, folder):
     again = corpus_pipeline.run(spark, folder)
     key = lambda rows: sorted((r.doc_id, r.taken) for r in rows)
     assert key(out.collect()) == key(again.collect()) and "repetitions" in out.columns
+
+
+def test_odd_tables(spark, folder, tmp_path):
+    """Nothing, and columns of other names: every stage bears them, and all but the last keep the columns."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for c in ("key", "f", "id", "score", "gone_", "bad_", "base", "u"):
+        docs = docs.withColumn(c, F.lit("x"))
+    for table in (docs.limit(0), docs.where("doc_id >= 1200 or doc_id < 12")):
+        n = table.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = staged(stage(spark, table, folder), name)
+            assert out.count() <= n and (name == "mixing" or out.columns == table.columns)
+            table = out
