@@ -9,7 +9,8 @@ Every stage reads what the one before it has kept, as a table; its decisions tak
 * secrets: every base span and every live-looking owned span is masked; all documents stay;
 * mixing: sources are weighted; the result has, per document, how often the mix takes it and how many words that makes.
 
-All but the last return the columns of documents. Nulls, empty texts and repeated rows pass as the operators define.
+All but the last return the columns of documents, whatever columns it has besides. Very long texts pass through every stage whole. Nulls, empty and very short texts can't be
+judged and stay; of rows that repeat id and text one stays; of texts that tie as copies the one with the smallest id stays; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.llm import decontaminate, jaccard, mixing, quality, secrets
-from pairloom.llm.store import staged
+from pairloom.llm.store import forget, staged
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +56,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows for ``documents``. A stage's table goes when the next one's is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
