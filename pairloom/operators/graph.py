@@ -6,6 +6,7 @@ reliable checkpoints after every step.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -13,10 +14,13 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, kept in the folder that spark.checkpoint.dir names (a folder of our own where it is unset)."""
+    """The same rows, kept in the folder that spark.checkpoint.dir names. Where it is unset, on one machine a folder of our own; a cluster shares none, so there it must be set."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pairloom-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pairloom-"))
     return df.checkpoint(eager=True)
 
 
