@@ -185,3 +185,13 @@ def op3(spark, sf_dir: str) -> DataFrame:
     from .store import table
 
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: the same in DuckDB, by all pairs of a label
+ORACLE = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding) AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+low AS (SELECT x, min(y) AS m FROM r GROUP BY x), n AS (SELECT x, count(*) AS n FROM l GROUP BY x),
+o AS (SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(low.m, e.vec_id)) AS component_id FROM embeddings e LEFT JOIN n ON n.x = e.vec_id LEFT JOIN low ON low.x = e.vec_id)
+SELECT *, vec_id = component_id AS kept FROM o"""

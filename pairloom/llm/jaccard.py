@@ -308,3 +308,16 @@ def op7(spark, sf_dir: str) -> DataFrame:
 
     out = join(table(spark, sf_dir, "documents"), 3, 90, 100)
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: the same in DuckDB, by all pairs of documents that share a shingle; fit for small tables
+ORACLE = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') AS v FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(v) >= 3 THEN [v[i] || ' ' || v[i + 1] || ' ' || v[i + 2] FOR i IN range(1, len(v) - 1)] WHEN len(v) > 0 THEN [array_to_string(v, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+low AS (SELECT x, min(y) AS m FROM r GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(low.m, d.doc_id)) AS component_id FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.x = d.doc_id"""

@@ -24,5 +24,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op2_secrets": secrets.ORACLE}
+    sql = {"op2_secrets": secrets.ORACLE, "op3_embeddings": embeddings.ORACLE, "op7_jaccard": jaccard.ORACLE}
     return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
