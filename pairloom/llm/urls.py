@@ -10,7 +10,7 @@ stands for itself; above the host stands ``prior``. Templates with a purity of a
 least ``reject`` are rejected, whatever their number of pages.
 
 Labels are those of pages, not of hosts: the rule that fits (block: bad, allow: good); else what the page holds. A link to a host that a rule blocks as a whole, or text that is
-junk (few distinct words, a symbol for every fifth word, mostly capitals), makes a page bad, other text of 20 words or more good; pages with less text or none have no
+junk (few distinct words, or a symbol for every fifth word), makes a page bad, other text of 20 words or more good; pages with less text or none have no
 label. All counts are taken over distinct (host, typed path), summed before their shuffle, so a host with a
 third of all pages is a few rows from every task.
 
@@ -88,14 +88,12 @@ def templates(paths: DataFrame, max_children: int = 20, z: float = 1.96) -> Data
 
 def page_label(html: Column, rules=RULES) -> Column:
     """True: bad, false: good, null: can't be told. Patterns are simple ones, as they pass over every page."""
-    scripts = "(?:[cC][rR][iI][pP][tT]|[tT][yY][lL][eE])"
-    text = F.regexp_replace(F.regexp_replace(html, rf"(?s)<[sS]{scripts}\b.*?</[sS]{scripts}", " "), "<[^>]*>", " ")
+    text = F.regexp_replace(html, r"(?s)<(?:[sS](?:[cC][rR][iI][pP][tT]|[tT][yY][lL][eE])\b.*?</[sS](?:[cC][rR][iI][pP][tT]|[tT][yY][lL][eE])|[^>]*>)", " ")
     words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
     n = F.size(words)
     few = F.size(F.array_distinct(words)) < n * F.when(n <= 3000, 0.3).otherwise(0.1)
     symbols = F.regexp_count(text, F.lit(r"[#$%*|{}\[\]\\^~=+@_`]")) > 0.2 * n
-    capitals = F.regexp_count(text, F.lit("[A-Z]")) > 0.4 * F.length(text)
-    label = F.when(n >= LEAST_WORDS, few | symbols | capitals)
+    label = F.when(n >= LEAST_WORDS, few | symbols)
     blocked = "|".join(re.escape(h) for h, p, v in rules if v == "block" and p == "/")
     if blocked:  # fit the host of a link or one above it
         link = rf"(?i)href\s*=\s*[\"']?[a-z][a-z0-9+.-]*://([^/?#\"'>\x20]*\.)?({blocked})([/?#\"'>\x20]|$)"
