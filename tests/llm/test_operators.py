@@ -494,14 +494,14 @@ GOOD, JUNK = " ".join(f"word{i}" for i in range(40)), "buy " * 60
 
 
 def plain_label(html):
-    text = re.sub("<[^>]*>", " ", re.sub(r"(?is)<s(?:cript|tyle)\b.*?</s(?:cript|tyle)", " ", html or ""))
+    text = re.sub(r"(?is)<(?:s(?:cript|tyle)\b.*?</s(?:cript|tyle)|[^>]*>)", " ", html or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
     if re.search(r"(?i)href\s*=\s*[\"']?[a-z][a-z0-9+.-]*://([^/?#\"'>\x20]*\.)?net([/?#\"'>\x20]|$)", html or ""):
         return True
     if html is None or len(w) < urls.LEAST_WORDS:
         return None
     few = len(set(w)) < len(w) * (0.3 if len(w) <= 3000 else 0.1)
-    return few or len(re.findall(r"[#$%*|{}\[\]\\^~=+@_`]", text)) > 0.2 * len(w) or len(re.findall("[A-Z]", text)) > 0.4 * len(text)
+    return few or len(re.findall(r"[#$%*|{}\[\]\\^~=+@_`]", text)) > 0.2 * len(w)
 
 
 def plain_tree(rows, max_children, strength):
