@@ -111,7 +111,7 @@ def purities(tree: DataFrame, prior: float, strength: float) -> DataFrame:
     return path.select("host", "template", fold.alias("purity"))
 
 
-def judge(pages: DataFrame, rules=RULES, prior: float = 0.2, strength: float = 2.0, reject: float = 0.7, max_children: int = 20, depth: int = 8, html: str = "html", key: str = "page_id") -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, prior: float = 0.2, strength: float = 2.0, reject: float = 0.5, max_children: int = 20, depth: int = 8, html: str = "html", key: str = "page_id") -> DataFrame:
     """pages(page_id, url, html, ...) -> (page_id, host, path, rule, verdict, template, purity)."""
     host, path = host_and_path(F.col("url"))
     content = page_label(F.col(html), rules) if html in pages.columns else F.lit(None).cast("boolean")
