@@ -177,8 +177,9 @@ ROUTED = ["readID", "parent_readID", "route"]
 for method in ("max", "sum"):
     simple(f"dedup_transitive_{method}", lambda d, method=method: dedup.deduplicate(d, 3, method).select(*ROUTED), _dedup_sql(method))
 simple("dedup_extra_cols", lambda d: dedup.deduplicate(d, 3, extra=["mapq2"]).select(*ROUTED), _dedup_sql("max", "AND a.mapq2 = b.mapq2"))
-simple("dedup_exact", lambda d: dedup.deduplicate(d, 0).select(*ROUTED), f"""{P}, m AS (SELECT readID, first_value(readID) OVER (PARTITION BY chrom1, chrom2, strand1, strand2, pos1, pos2 ORDER BY pair_type, readID) AS f FROM pairs WHERE {MAPPED})
-SELECT p.readID, CASE WHEN f <> p.readID THEN f END AS parent_readID, CASE WHEN f IS NULL THEN 'unmapped' WHEN f <> p.readID THEN 'dups' ELSE 'nodups' END AS route FROM pairs p LEFT JOIN m USING (readID)""")
+simple("dedup_exact", lambda d: dedup.deduplicate(d, 0).select(*ROUTED), f"""WITH pairs AS (SELECT row_number() OVER () AS row, * FROM ({PAIRS_SQL})),
+m AS (SELECT row, first_value(row) OVER w AS f, first_value(readID) OVER w AS parent FROM pairs WHERE {MAPPED} WINDOW w AS (PARTITION BY chrom1, chrom2, strand1, strand2, pos1, pos2 ORDER BY pair_type, readID, row))
+SELECT p.readID, CASE WHEN m.f <> p.row THEN m.parent END AS parent_readID, CASE WHEN m.f IS NULL THEN 'unmapped' WHEN m.f <> p.row THEN 'dups' ELSE 'nodups' END AS route FROM pairs p LEFT JOIN m USING (row)""")
 simple("dedup_route", lambda d: dedup.marked(dedup.deduplicate(d)).groupBy("route", "pair_type").agg(F.count("*").alias("n")), _dedup_sql("max").replace("SELECT p.readID, CASE", "SELECT CASE WHEN h.o IS NULL THEN 'unmapped' WHEN h.o <> h.h THEN 'dups' ELSE 'nodups' END AS route, CASE WHEN h.o <> h.h THEN 'DD' ELSE p.pair_type END AS pair_type, count(*) AS n FROM pairs p LEFT JOIN head h USING (readID) GROUP BY ALL --").split(" --")[0])
 ONLINE_SQL = f"""{_dedup_sql("max").split("SELECT p.readID, CASE")[0].rstrip()},
 c AS (SELECT h, list({{o: o, p: pos1, q: pos2, id: m.readID}} ORDER BY o) AS x FROM head JOIN m USING (o) GROUP BY h),
