@@ -38,7 +38,7 @@ WORDS = 1 << 19
 MASS = 8.0
 SMALL_SIDE = 1_000_000
 #: broadcast words; documents that choose them; tokens a bucket; bigrams and documents a block
-HOT, SAMPLE, BUCKET, BLOCK, BLOCK_DOCS = 2048, 20_000, 1_000_000, 500_000, 60_000
+HOT, SAMPLE, BUCKET, BLOCK, BLOCK_DOCS = 2048, 20_000, 2_000_000, 1_000_000, 60_000
 START = np.uint64(1)
 
 
