@@ -1,24 +1,25 @@
 """From alignment records to pairs.
 
 Records become typed alignments by built-in functions (CIGAR sums, ends, uniqueness, mismatches). Records of one
-name form a molecule (grouped, so they need not be neighbours). Molecules with one alignment on each side and no gap to
-fill, the bulk of any library, stay in generated code; only chimeric ones go, as Arrow batches, through the walk logic.
+name form a molecule (dealt out by name and sorted once, so they need not be neighbours). Sorted rows go as Arrow batches through
+the walk rules, which work on whole arrays; only columns that are asked for are sent.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import fields
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.conditions import compile_value
 from ..schema import RECORD_SEP, SAM_SEP
-from . import walks
-from .walks import Segment
+from . import walk_batches, walks
 
 ALIGNMENT = (
     "struct<dist_to_5:int,query_start:int,n:struct<file:string,start:long,n:long>,chrom:string,pos5:long,pos3:long,strand:string,mapq:int,is_mapped:boolean,is_unique:boolean,"
@@ -26,6 +27,8 @@ ALIGNMENT = (
 )
 COLUMNS = ("mapq", "pos5", "pos3", "cigar", "read_len", "matched_bp", "algn_ref_span", "algn_read_span", "dist_to_5", "dist_to_3", "mismatches", "seq", "read_side", "algn_idx", "same_side_algn_count")
 NUMBERS = {"mapq", "pos5", "pos3", "read_len", "matched_bp", "algn_ref_span", "algn_read_span", "dist_to_5", "dist_to_3", "read_side", "algn_idx", "same_side_algn_count"}
+#: what a pair's end has of its own, not its alignment
+PLACES = {"pos5": "pos5", "pos3": "pos3", "read_side": "side", "algn_idx": "idx", "same_side_algn_count": "count"}
 
 
 def cigar_metrics(cigar: Column) -> Column:
@@ -146,14 +149,6 @@ def grouped(algns: DataFrame) -> DataFrame:
     return algns.groupBy("readID").agg(by(1), by(2))
 
 
-SEGMENT_FIELDS = [f.name for f in fields(Segment)]
-
-
-def _segment(x: Mapping) -> Segment:
-    x = x if isinstance(x, dict) else x.asDict()
-    return Segment(**{k: (dict(x[k] or {}) if k == "tags" else x[k]) for k in SEGMENT_FIELDS if k in x})
-
-
 def _output_type(drop_sam: bool, columns: Sequence[str], index: bool) -> str:
     out = "readID string, chrom1 string, pos1 long, chrom2 string, pos2 long, strand1 string, strand2 string, pair_type string"
     if not drop_sam:
@@ -166,21 +161,29 @@ def _output_type(drop_sam: bool, columns: Sequence[str], index: bool) -> str:
     return out
 
 
-def wrong_order(ranks: Mapping[str, int], one: Segment, two: Segment, pos1: int, pos2: int) -> bool:
-    """By place if both sides have one, else the better mapped side comes second."""
-    if one.chrom != "!" and two.chrom != "!":
-        return (ranks[one.chrom], pos1) > (ranks[two.chrom], pos2)
-    return (one.is_mapped, one.is_unique) > (two.is_mapped, two.is_unique)
+def _records_text(record: pa.Array, rows: np.ndarray, n: np.ndarray, kind: pa.Array, drop_seq: bool) -> pa.Array:
+    """SAM columns: for each pair the records of n rows, each with the pair's type."""
+    each = record.take(pa.array(rows))
+    if drop_seq:
+        each = pc.replace_substring_regex(each, r"^((?:[^\t]*\t){9})[^\t]*\t[^\t]*", "\\1*\t*")
+    each = pc.binary_join_element_wise(pc.replace_substring(each, "\t", SAM_SEP), pc.binary_join_element_wise("Yt:Z:", kind.take(pa.array(np.repeat(np.arange(len(n)), n))), ""), SAM_SEP)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), each), RECORD_SEP)
 
 
-def _sam_column(records: Sequence[str], kind: str, drop_seq: bool) -> str:
-    out = []
-    for r in records:
-        f = r.split("\t")
-        if drop_seq:
-            f[9:11] = ["*", "*"]
-        out.append(SAM_SEP.join([*f, f"Yt:Z:{kind}"]))
-    return RECORD_SEP.join(out)
+def _molecules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by readID in tables that hold whole molecules."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = pc.run_end_encode(batch["readID"]).run_ends.to_numpy()
+        cut = int(ends[-2]) if len(ends) > 1 else 0
+        if cut or held and held[-1]["readID"][-1] != batch["readID"][0]:
+            yield pa.Table.from_batches([*held, *([batch.slice(0, cut)] if cut else [])]).combine_chunks()
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def parse(
@@ -217,87 +220,73 @@ def parse(
     if mode not in ("parse", "parse2"):
         raise ValueError("mode must be parse or parse2")
     algns = alignments(records, min_mapq, tags, "seq" in add_columns, "mismatches" in add_columns, readid)
-    molecules = grouped(algns)
-    ranks = {"!": -1, **{c: i for i, c in enumerate(chroms)}}
+    ranks = {c: i for i, c in enumerate(chroms)}
     schema = _output_type(drop_sam, add_columns, add_pair_index)
     end = "pos5" if report_alignment_end == "5" else "pos3"
+    shipped = {c: F.col(f"algn.{c}") for c in ("dist_to_5", "dist_to_3", "algn_read_span", "read_len", "pos5", "pos3", "chrom", "is_mapped", "is_unique")}
+    shipped |= {"minus": F.col("algn.strand") == "-"} | {c: F.col(f"algn.{c}") for c in add_columns if c in COLUMNS and c not in PLACES and c not in shipped}
+    shipped |= {f"tag_{t}": F.coalesce(F.try_element_at(F.col("algn.tags"), F.lit(t)), F.lit("")) for t in tags} | ({} if drop_sam else {"record": F.col("algn.record")})
+    names = [c.strip("`") for c in (x.rsplit(" ", 1)[0] for x in schema.split(", "))]
 
-    def rows(name: str, a: list, b: list) -> Iterator[tuple]:
-        sides = [[_segment(x) for x in a], [_segment(x) for x in b]]
-        sams = [[x["record"] for x in a], [x["record"] for x in b]]
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        given = {c: rows[c].combine_chunks() if isinstance(rows[c], pa.ChunkedArray) else rows[c] for c in rows.column_names}
+        first = np.concatenate([[0], pc.run_end_encode(given["readID"]).run_ends.to_numpy()]).astype(np.int64)
+        side = given["side"].to_numpy()
+        n = [np.add.reduceat((side == i).astype(np.int64), first[:-1]) for i in (1, 2)]
+        code = pc.dictionary_encode(given["chrom"])
+        found = code.dictionary.to_pylist()
+        known = {c: i for i, c in enumerate(["!", *[c for c in found if c != "!"]])}
+        core = {c: pc.fill_null(given[c], False if pa.types.is_boolean(given[c].type) else 0).to_numpy(zero_copy_only=False) for c in (*walk_batches.CORE, "dist_to_3") if c != "chrom"}
+        core = {c: x if x.dtype == bool else x.astype(np.int64) for c, x in core.items()}
+        core["chrom"] = np.array([known[c] for c in found], np.int64)[code.indices.to_numpy()]
+        p = walk_batches.pool(core)
+        of_side = [np.flatnonzero(side == i) for i in (1, 2)]
         if mode == "parse":
-            found, _, _ = walks.parse_molecule(*sides, walks_policy, max_molecule_size, max_inter_align_gap)
+            out = walk_batches.parse(p, of_side, n, walks_policy, max_molecule_size, max_inter_align_gap)
         else:
-            found, _, _ = walks.parse_molecule_all(*sides, max_inter_align_gap, **more)
-        own = sams  # of a molecule with several pairs the SAM columns change sides with every pair that is flipped, and stay so
-        for p in found:
-            ends = [p.one, p.two]
-            if flip and wrong_order(ranks, p.one, p.two, getattr(p.one, end), getattr(p.two, end)):
-                ends, own = ends[::-1], own[::-1]
-            kind = ends[0].type + ends[1].type
-            row = ["." if drop_readid else name, ends[0].chrom, getattr(ends[0], end), ends[1].chrom, getattr(ends[1], end), ends[0].strand, ends[1].strand, kind]
-            if not drop_sam:
-                row += [_sam_column(s, kind, drop_seq) for s in own]
-            if add_pair_index:
-                row += [p.index, p.kind]
-            for c in add_columns:
-                row += [(getattr(e, c) if c in COLUMNS else e.tags.get(c, "")) for e in ends]
-            yield tuple(row)
-
-    names = [c.strip("`") for c in (x.rsplit(" ", 1)[0] for x in schema.split(", "))]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [r for name, a, b in zip(batch["readID"], batch["a"], batch["b"], strict=True) for r in rows(name, list(a), list(b))]
-            yield pd.DataFrame(out, columns=names)
-
-    one_each = (F.size("a") == 1) & (F.size("b") == 1)
-    no_gap = lambda c: ~F.col(f"{c}")[0]["is_mapped"] | (F.col(f"{c}")[0]["dist_to_5"] <= max_inter_align_gap)
-    plain = one_each & F.coalesce(no_gap("a") & no_gap("b"), F.lit(False))
-    if mode == "parse2" and (more.get("single_end") or more.get("expanded")):
-        plain = F.lit(False)
-    turns = {"orientation": more.get("orientation", "pair"), "position": more.get("position", "outer")} if mode == "parse2" else {}
-    simple = _simple(molecules.where(plain), ranks, end, flip, drop_readid, drop_seq, drop_sam, add_pair_index, add_columns, turns)
-    return simple.select(*[F.col(f"`{c}`") for c in names]).unionByName(molecules.where(~plain).mapInPandas(run, schema))
-
-
-def _simple(df: DataFrame, ranks: Mapping[str, int], end: str, flip: bool, drop_readid: bool, drop_seq: bool, drop_sam: bool, index: bool, columns: Sequence[str], more: Mapping) -> DataFrame:
-    """Molecules with one alignment per side, by built-in functions. Pairs between the reads are turned only when ``more`` asks for it."""
-    turn_strand = walks.TURNS[more.get("orientation", "read")].get("R1-2", (False, False))
-    turn_place = walks.TURNS[walks.POSITIONS[more.get("position", "read")]].get("R1-2", (False, False))
-    rank = F.create_map(*[F.lit(v) for kv in ranks.items() for v in kv])
-    side = []
-    for c, ts, tp in zip("ab", turn_strand, turn_place, strict=True):
-        x = F.col(c)[0]
-        p5, p3 = (x["pos3"], x["pos5"]) if tp else (x["pos5"], x["pos3"])
-        strand = F.when(x["strand"] == "-", "+").otherwise("-") if ts else x["strand"]
-        kind = F.when(~x["is_mapped"], "N").when(~x["is_unique"], "M").otherwise("U")
-        fields_ = {k: x[k] for k in COLUMNS if k not in ("pos5", "pos3", "read_side", "algn_idx", "same_side_algn_count")}
-        fields_ |= {"pos5": p5, "pos3": p3, "read_side": F.lit("ab".index(c) + 1), "algn_idx": F.lit(0), "same_side_algn_count": F.lit(1)}
-        names = [f.alias(k) for k, f in fields_.items()]
-        side.append(F.struct(x["chrom"].alias("chrom"), (p5 if end == "pos5" else p3).alias("pos"), strand.alias("strand"), kind.alias("type"), x["is_mapped"].alias("is_mapped"), x["is_unique"].alias("is_unique"), x["tags"].alias("tags"), x["record"].alias("record"), *names))
-    df = df.select("readID", side[0].alias("x"), side[1].alias("y"))
-    if flip:
-        placed = (F.col("x.chrom") != "!") & (F.col("y.chrom") != "!")
-        by_place = F.struct(F.element_at(rank, F.col("x.chrom")), F.col("x.pos")) > F.struct(F.element_at(rank, F.col("y.chrom")), F.col("y.pos"))
-        by_map = F.struct(F.col("x.is_mapped"), F.col("x.is_unique")) > F.struct(F.col("y.is_mapped"), F.col("y.is_unique"))
-        wrong = F.when(placed, by_place).otherwise(by_map)
-        df = df.select("readID", F.when(wrong, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(wrong, F.col("x")).otherwise(F.col("y")).alias("y"))
-    kind = F.concat("x.type", "y.type")
-    out = [F.lit(".").alias("readID") if drop_readid else F.col("readID")]
-    out += [F.col("x.chrom").alias("chrom1"), F.col("x.pos").alias("pos1"), F.col("y.chrom").alias("chrom2"), F.col("y.pos").alias("pos2"), F.col("x.strand").alias("strand1"), F.col("y.strand").alias("strand2"), kind.alias("pair_type")]
-    if not drop_sam:
-        for i, c in enumerate("xy", 1):
-            parts = F.split(F.col(f"{c}.record"), "\t", -1)
-            parts = F.transform(parts, lambda f, j: F.when((j == 9) | (j == 10), "*").otherwise(f)) if drop_seq else parts
-            out.append(F.concat(F.array_join(parts, SAM_SEP), F.lit(SAM_SEP + "Yt:Z:"), kind).alias(f"sam{i}"))
-    if index:
-        out += [F.lit(1).alias("walk_pair_index"), F.lit("R1-2").alias("walk_pair_type")]
-    for k in columns:
-        for i, c in enumerate("xy", 1):
-            v = F.col(f"{c}.{k}") if k in COLUMNS else F.coalesce(F.try_element_at(F.col(f"{c}.tags"), F.lit(k)), F.lit(""))
-            out.append(v.cast("long" if k in NUMBERS else "string").alias(f"{k}{i}"))
-    return df.select(*out)
+            out = walk_batches.parse_all(p, of_side, n, max_inter_align_gap, **more)
+        one, two, swap = out.one, out.two, np.zeros(len(out.molecule), bool)
+        if flip:  # by place if both sides have one, else the better mapped side comes second
+            rank = np.array([ranks.get(c, -1) for c in known], np.int64)
+            x, y = ((rank[e.chrom], getattr(e, end), e.chrom != walk_batches.UNPLACED, p["is_mapped"][e.id] * 2 + p["is_unique"][e.id]) for e in (one, two))
+            swap = np.where(x[2] & y[2], (x[0] > y[0]) | (x[0] == y[0]) & (x[1] > y[1]), x[3] > y[3])
+            one, two = walk_batches.where(swap, two, one), walk_batches.where(swap, one, two)
+        chrom, types = pa.array(list(known)), pa.array(walk_batches.TYPES)
+        text = lambda e: types.take(pa.array(e.type))
+        kind = pc.binary_join_element_wise(text(one), text(two), "")
+        name = pa.repeat(".", len(swap)) if drop_readid else given["readID"].take(pa.array(first[out.molecule]))
+        strand = lambda e: pa.array(["+", "-"]).take(pa.array(e.minus.astype(np.int8)))
+        columns = [name, chrom.take(pa.array(one.chrom)), getattr(one, end), chrom.take(pa.array(two.chrom)), getattr(two, end), strand(one), strand(two), kind]
+        if not drop_sam:  # in a molecule with several pairs the SAM columns change sides with every pair that is flipped, and stay so
+            turns = np.cumsum(swap)
+            odd = (turns - (turns - swap)[np.searchsorted(out.molecule, out.molecule)]) % 2
+            start, size = (first[:-1][out.molecule], (first[:-1] + n[0])[out.molecule]), (n[0][out.molecule], n[1][out.molecule])
+            for i in (0, 1):
+                at, count = (np.where(odd == i, *x) for x in (start, size))
+                columns.append(_records_text(given["record"], np.repeat(at, count) + walk_batches.running(count), count, kind, drop_seq))
+        if add_pair_index:
+            codes, which = np.unique(out.kind, return_inverse=True)
+            columns += [out.index, pa.array([walk_batches.kind_name(int(c)) for c in codes], pa.string()).take(pa.array(which))]
+        for c in add_columns:
+            for e in (one, two):
+                if c in PLACES:
+                    columns.append(getattr(e, PLACES[c]))
+                elif c in p.columns:
+                    columns.append(p[c][e.id])
+                else:
+                    column = given[c if c in COLUMNS else f"tag_{c}"]
+                    null = pa.array([{"cigar": "*"}.get(c, 0 if c in NUMBERS else "")], column.type)
+                    columns.append(pa.concat_arrays([column, null]).take(pa.array(np.minimum(e.id, p.null))))
+        return pa.RecordBatch.from_arrays([(x if isinstance(x, pa.Array) else pa.array(x)).cast(kinds[c]) for c, x in zip(names, columns, strict=True)], names)
+
+    kinds = {c: {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}[x.rsplit(" ", 1)[1]] for c, x in zip(names, schema.split(", "), strict=True)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return map(pairs, _molecules(batches))
+
+    flat = algns.select("readID", "side", *[x.alias(c) for c, x in shipped.items()], F.col("algn.query_start").alias("query_start"), F.col("algn.n").alias("n"))
+    ordered = flat.repartition("readID").sortWithinPartitions("readID", "side", "dist_to_5", "query_start", "n")
+    return ordered.drop("query_start", "n").mapInArrow(run, schema)
 
 
 def parsed_alignments(records: DataFrame, min_mapq: int = 1) -> DataFrame:
