@@ -3,10 +3,11 @@
 Two mapped pairs match when chromosomes, strands and extra columns are equal and their positions differ by at
 most ``max_mismatch``, by the larger of both differences (``max``) or their sum (``sum``).
 
-Rows at one and the same place are first folded into a node, by a grouped count, so any number of exact
-copies is one node. Matches between nodes come from an equi-join on grid cells with sides of max_mismatch + 1: a cell
-holds (max_mismatch + 1)**2 nodes at most, and each node meets its own and four neighbouring cells, so the join's
-output is bounded by the number of nodes, however deep the sequencing. Two rules decide what goes:
+Places are counted first (combined before the shuffle, so any number of exact copies is one row per task), dealt out by tiles, and those without another close by are
+let go: in one sorted pass per half step a place looks at its nearest by pos1 in strips. What is left, a small part of most libraries, are nodes. Matches between nodes come from an equi-join on
+grid cells with sides of max_mismatch + 1: a cell holds (max_mismatch + 1)**2 nodes at most, and each node meets its own and four neighbouring cells, so the join's
+output is bounded by the number of nodes, however deep the sequencing. Whole rows are shuffled once, by place, to find each place's first; those of places
+with more than HOT copies are not. Two rules decide what goes:
 
 * ``transitive``: components of the match graph; the first row of each stays.
 * ``greedy``: rows in order; a row that stays removes all later rows that match it, a removed row
@@ -16,6 +17,7 @@ output is bounded by the number of nodes, however deep the sequencing. Two rules
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -26,6 +28,10 @@ from .graph import components, cut
 from .rows import mark_duplicates
 
 ORDER = ("chrom1", "chrom2", "pos1", "pos2", "pair_type", "readID")
+#: copies of one place beyond which its rows are not gathered
+HOT = 1_000_000
+#: places that match another, up to which they are sent to all tasks (some 100 MB)
+BROADCAST = 500_000
 
 
 def match_keys(extra: Sequence[str | tuple[str, str]] = ()) -> list[str]:
@@ -67,6 +73,51 @@ def candidate_edges(nodes: DataFrame, keys: Sequence[str], max_mismatch: int = 3
     return l.join(r, on).select(F.col(f"l.{node}").alias("a"), F.col(f"r.{node}").alias("b"))
 
 
+def neighbours(spots: DataFrame, keys: Sequence[str], max_mismatch: int) -> DataFrame:
+    """spots(keys, pos1, pos2, copies) + near, which holds for every spot that another lies close to, and for few others. Spots at the rim of a tile come several times.
+
+    Two spots that match share a strip of pos2, 2 * (max_mismatch + 1) high, of this or the next lower half step; there a spot's nearest by pos1 is as near as any. One shuffle, by tiles:
+    spots at a tile's upper rims are told to the next tiles too.
+    """
+    half = max_mismatch + 1
+    tile = 128 * half
+    x, y = F.floor(F.col("pos1") / tile), F.floor(F.col("pos2") / tile)
+    right, above = F.col("pos1") - x * tile >= tile - half, F.col("pos2") - y * tile >= tile - half
+    at = lambda i, j: F.struct((x + i).alias("x"), (y + j).alias("y"))
+    tiles = F.when(right | above, F.array(at(0, 0), F.when(right, at(1, 0)), F.when(above, at(0, 1)), F.when(right & above, at(1, 1)))).otherwise(F.array(at(0, 0)))
+    out = spots.withColumn("t", F.explode(tiles)).where("t is not null").withColumns({"tx": F.col("t.x"), "ty": F.col("t.y")}).drop("t").repartition(*keys, "tx", "ty")
+    near = F.lit(False)
+    for step in (0, half):
+        w = Window.partitionBy(*keys, "tx", "ty", F.floor((F.col("pos2") + step) / (2 * half))).orderBy("pos1")
+        near = near | F.coalesce(F.col("pos1") - F.lag("pos1").over(w) <= max_mismatch, F.lit(False)) | F.coalesce(F.lead("pos1").over(w) - F.col("pos1") <= max_mismatch, F.lit(False))
+    return out.withColumn("near", near).drop("tx", "ty")
+
+
+def _at(rows: DataFrame, table: DataFrame, spot: Sequence[str], how: str, columns: Sequence[str]) -> DataFrame:
+    """rows joined with a table by place; nulls in grouping columns are equal."""
+    condition = reduce(Column.__and__, [F.col(f"d.{c}").eqNullSafe(F.col(f"n.{c}")) if c not in ("chrom1", "chrom2", "pos1", "pos2") else F.col(f"d.{c}") == F.col(f"n.{c}") for c in spot])
+    return rows.alias("d").join(table.alias("n"), condition, how).select("d.*", *[F.col(f"n.{c}") for c in columns])
+
+
+def _roles(rows: DataFrame, nodes: DataFrame, spot: Sequence[str], keys: Sequence[str], max_mismatch: int, method: str, rule: str, order: Sequence[str], key: str) -> DataFrame:
+    """(spot, is_head_, parent_) of the places that match another: whether one of its rows stays, and the key of the row that its others go by."""
+    links = components(candidate_edges(nodes, keys, max_mismatch, method))
+    linked = cut(nodes.select(*spot, "node").join(links, "node"))
+    small = F.broadcast if linked.count() <= BROADCAST else lambda d: d
+    low = F.min(F.struct(F.struct(*order).alias("place"), F.col(key).alias("first"))).alias("low")
+    lows = _at(rows, small(linked), spot, "inner", ["node", "component"]).groupBy(*spot, "node", "component").agg(low)
+    lows = cut(lows.select(*spot, "node", "component", "low.place", "low.first"))
+    if rule == "greedy":
+        ordered = lows.select("node", "component", "pos1", "pos2", "place").repartition("component").sortWithinPartitions("component", "place")
+        heads = ordered.select("component", "node", "pos1", "pos2").mapInPandas(_greedy(max_mismatch, method), "node long, head long")
+        heads = lows.join(heads, "node").select(*spot, "node", "head")
+    else:
+        heads = lows.groupBy("component").agg(F.min(F.struct("place", "node")).alias("low")).select("component", F.col("low.node").alias("head"))
+        heads = lows.join(heads, "component").select(*spot, "node", "head")
+    names = lows.select(F.col("node").alias("head"), F.col("first").alias("parent_"))
+    return small(cut(heads.join(names, "head").select(*spot, (F.col("head") == F.col("node")).alias("is_head_"), "parent_")))
+
+
 def _greedy(max_mismatch: int, method: str):
     """Rows sorted by component and order to (node, head): the first kept row that matches, or the node itself.
 
@@ -116,40 +167,38 @@ def deduplicate(
     if rule not in ("transitive", "greedy"):
         raise ValueError("rule must be transitive or greedy")
     keys = match_keys(extra)
-    place = F.struct(*order)
     spot = [*keys, "pos1", "pos2"]
-    nodes = mapped(df, marker).groupBy(*spot).agg(F.min(F.struct(place.alias("place"), F.col(key).alias("first"))).alias("low"), F.count("*").alias("copies"))
-    nodes = cut(nodes.select(*spot, "low.place", "low.first", "low", "copies", F.monotonically_increasing_id().alias("node")))
-    if max_mismatch:
-        cluster = components(candidate_edges(nodes, keys, max_mismatch, method))
-        nodes = nodes.join(cluster, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        if rule == "greedy":
-            linked = nodes.join(cluster.select("node"), "node", "left_semi")
-            ordered = linked.select("node", "component", "pos1", "pos2", "place").repartition("component").sortWithinPartitions("component", "place")
-            heads = ordered.select("component", "node", "pos1", "pos2").mapInPandas(_greedy(max_mismatch, method), "node long, head long")
-            nodes = nodes.join(heads, "node", "left").withColumn("head", F.coalesce("head", "node"))
-        else:
-            heads = nodes.groupBy("component").agg(F.min(F.struct("place", "node")).alias("low")).select("component", F.col("low.node").alias("head"))
-            nodes = nodes.join(heads, "component")
-        names = nodes.select(F.col("node").alias("h_"), F.col("first").alias("parent_"))
-        nodes = nodes.join(names, F.col("head") == F.col("h_")).select(*spot, "parent_", "node", "low", "copies", (F.col("head") == F.col("node")).alias("is_head_"))
-    else:
-        nodes = nodes.select(*spot, F.col("first").alias("parent_"), "node", "low", "copies", F.lit(True).alias("is_head_"))
-    on = [F.col(f"d.{c}").eqNullSafe(F.col(f"n.{c}")) if c not in ("chrom1", "chrom2", "pos1", "pos2") else F.col(f"d.{c}") == F.col(f"n.{c}") for c in spot]
-    condition = on[0]
-    for c in on[1:]:
-        condition = condition & c
-    extras = {"parent_": "n.parent_", "node_": "n.node", "low_": "n.low", "copies_": "n.copies", "is_head_": "n.is_head_"}
-    out = df.alias("d").join(nodes.alias("n"), condition, "left").select("d.*", *[F.col(c).alias(name) for name, c in extras.items()])
-    # rows equal to the first of a head in order and key are told apart by number; other rows are spread
-    out = out.withColumn("least_", F.col("is_head_") & F.struct(place.alias("place"), F.col(key).alias("first")).eqNullSafe(F.col("low_")))
-    tied = F.coalesce(F.col("least_") & (F.col("copies_") > 1), F.lit(False))
-    out = out.withColumns({"tied_": tied, "spread_": F.when(tied, F.col("node_")).otherwise(F.monotonically_increasing_id())})
+    placed = F.coalesce((F.col("chrom1") != marker) & (F.col("chrom2") != marker) & F.col("pos1").isNotNull() & F.col("pos2").isNotNull(), F.lit(False))
+    rows = df.where(placed)
+    spots = rows.groupBy(*spot).agg(F.count("*").alias("copies"))
+    near = neighbours(spots, keys, max_mismatch) if max_mismatch else spots.withColumn("near", F.lit(False))
+    marked_ = near.where(F.col("near") | (F.col("copies") > HOT)).groupBy(*spot).agg(F.max("copies").alias("copies"), F.max("near").alias("near"))
+    nodes = cut(marked_.withColumn("node", F.monotonically_increasing_id()))
+    roles = _roles(rows, nodes.where("near"), spot, keys, max_mismatch, method, rule, order, key) if max_mismatch else None
     content = F.xxhash64(*[F.col(f"`{f.name}`").cast("string") for f in df.schema.fields])
-    out = out.withColumn("number_", F.row_number().over(Window.partitionBy("tied_", "spread_").orderBy(content)))
-    dup = F.col("node_").isNotNull() & ~(F.col("least_") & (F.col("number_") == 1))
-    out = out.withColumn("route", F.when(F.col("node_").isNull(), "unmapped").when(dup, "dups").otherwise("nodups"))
-    return out.withColumn("parent_readID", F.when(dup, F.col("parent_"))).drop(*extras, "least_", "tied_", "spread_", "number_")
+    numbered = rows.withColumn("content_", content)
+    if roles is None:
+        numbered = numbered.withColumns({"is_head_": F.lit(None).cast("boolean"), "parent_": F.lit(None).cast(df.schema[key].dataType)})
+    else:
+        numbered = _at(numbered, roles, spot, "left", ["is_head_", "parent_"])
+    hot = nodes.where(F.col("copies") > HOT)
+    some = hot.limit(1).count() > 0
+    rest = _at(numbered, F.broadcast(hot), spot, "left_anti", []) if some else numbered
+    by = [*dict.fromkeys([c for c in (*order, key) if c not in spot]), "content_"]
+    w = Window.partitionBy(*spot).orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = [rest.withColumns({"number_": F.row_number().over(w), "first_": F.first(key).over(w)})]
+    if some:
+        # rows of a place with very many copies stay where they are; only those equal to its first are numbered
+        low = F.struct(*by)
+        lows = _at(numbered, F.broadcast(hot), spot, "left_semi", []).groupBy(*spot).agg(F.min(low).alias("low_"))
+        there = _at(numbered, F.broadcast(lows), spot, "inner", ["low_"]).withColumn("first_", F.col(f"low_.{key}") if key in by else F.col(key))
+        tied = low.eqNullSafe(F.col("low_"))
+        first.append(there.where(~tied).withColumn("number_", F.lit(2)).drop("low_"))
+        first.append(there.where(tied).withColumn("number_", F.row_number().over(Window.partitionBy(*spot).orderBy("content_"))).drop("low_"))
+    out = reduce(DataFrame.unionByName, first)
+    dup = ~(F.coalesce("is_head_", F.lit(True)) & (F.col("number_") == 1))
+    out = out.select(*[F.col(f"`{c}`") for c in df.columns], F.when(dup, "dups").otherwise("nodups").alias("route"), F.when(dup, F.coalesce("parent_", "first_")).alias("parent_readID"))
+    return out.unionByName(df.where(~placed).withColumns({"route": F.lit("unmapped"), "parent_readID": F.lit(None).cast(df.schema[key].dataType)}))
 
 
 def marked(df: DataFrame, sam: bool = False) -> DataFrame:
