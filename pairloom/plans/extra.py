@@ -124,11 +124,11 @@ def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sorted_gzip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs, sorted, through one gzip file."""
+    """All pairs, sorted, through gzip files, one for each range of the order: a task writes and reads a range alone. One after another they are one sorted gzip file."""
     df = order.sort_pairs(pairs(spark, sf_dir), ordinal="readID")
     path = _folder(spark)
-    files.write_pairs(files.PairsTable(df, Header.standard(columns=df.columns).mark_sorted()), path, compression="gzip", single=True)
-    return files.read_pairs(spark, path, types={"mapq1": "bigint", "mapq2": "bigint"}).df
+    files.write_pairs(files.PairsTable(df, Header.standard(columns=df.columns).mark_sorted()), path, compression="gzip")
+    return files.read_parts(spark, path, {"mapq1": "bigint", "mapq2": "bigint"}).df
 
 
 query("sort_gzip", f"{P} SELECT * FROM pairs")(_sorted_gzip)

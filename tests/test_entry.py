@@ -81,3 +81,21 @@ def test_runs_without_the_training_data_subpackage(tmp_path):
     code = "import __spark_entry__ as e; from pyspark.sql import SparkSession as S; s = S.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate(); print('rows', e.entry(s).count(), e.queries()['walk_policy_all'](s, '" + DATA + "').count() > 0)"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
     assert "rows 5 True" in out.stdout, out.stderr[-2000:]
+
+
+@needs_data
+def test_sorted_gzip_is_dealt_over_files(spark):
+    """No task bears the whole table; the files one after another are one sorted gzip file."""
+    import gzip
+    from urllib.parse import unquote, urlparse
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = entry.queries()["sort_gzip"](spark, DATA)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted(unquote(urlparse(f).path) for f in got.inputFiles())
+    assert len(files) > 1 and all(f.endswith(".gz") for f in files)
+    lines = gzip.decompress(b"".join(open(f, "rb").read() for f in files)).decode().splitlines()
+    keys = [(f[1], f[3], int(f[2]), int(f[4]), f[7], f[0]) for f in (x.split("\t") for x in lines)]
+    assert keys == sorted(keys) and len(keys) == got.count() == spark.read.parquet(f"{DATA}/lineitem.parquet").count()
