@@ -3,10 +3,13 @@
 Two mapped pairs match when chromosomes, strands and extra columns are equal and their positions differ by at
 most ``max_mismatch``, by the larger of both differences (``max``) or their sum (``sum``).
 
-Places are counted first (combined before the shuffle, so any number of exact copies is one row per task), dealt out by tiles, and those without another close by are
-let go: in one sorted pass per half step a place looks at its nearest by pos1 in strips. What is left, a small part of most libraries, are nodes. Matches between nodes come from an equi-join on
+Rows are first counted by coarse cells (combined before the shuffle, numbers only). Rows alone in theirs, most of most libraries, have neither copy nor match: they stay where they are and are never
+shuffled whole. Which cells hold more goes to all tasks as a table of bits of bounded size; a wrong bit lets a row take the long way, to the same result.
+
+Places of the other rows are counted (combined before the shuffle, so any number of exact copies is one row per task), dealt out by tiles, and those without another close by are
+let go: in one sorted pass per half step a place looks at its nearest by pos1 in strips. What is left are nodes. Matches between nodes come from an equi-join on
 grid cells with sides of max_mismatch + 1: a cell holds (max_mismatch + 1)**2 nodes at most, and each node meets its own and four neighbouring cells, so the join's
-output is bounded by the number of nodes, however deep the sequencing. Whole rows are shuffled once, by place, to find each place's first; those of places
+output is bounded by the number of nodes, however deep the sequencing. The other rows are shuffled whole once, by place, to find each place's first; those of places
 with more than HOT copies are not. Two rules decide what goes:
 
 * ``transitive``: components of the match graph; the first row of each stays.
@@ -32,6 +35,8 @@ ORDER = ("chrom1", "chrom2", "pos1", "pos2", "pair_type", "readID")
 HOT = 1_000_000
 #: places that match another, up to which they are sent to all tasks (some 100 MB)
 BROADCAST = 500_000
+#: bits, at most, of the table of cells that hold several rows, 64 to a row (some 60 MB)
+BITS = 1 << 26
 
 
 def match_keys(extra: Sequence[str | tuple[str, str]] = ()) -> list[str]:
@@ -73,6 +78,27 @@ def candidate_edges(nodes: DataFrame, keys: Sequence[str], max_mismatch: int = 3
     return l.join(r, on).select(F.col(f"l.{node}").alias("a"), F.col(f"r.{node}").alias("b"))
 
 
+def with_crowded(df: DataFrame, placed: Column, keys: Sequence[str], max_mismatch: int) -> DataFrame:
+    """df + crowded_, which holds for every placed row that has a copy or another within max_mismatch, and for few others.
+
+    Rows are counted by cells; one at a cell's upper rims is told to the next cells too, so rows that match share one. A cell with several tells the cells they came from.
+    """
+    side = 4 * (max_mismatch + 1) if max_mismatch else 1
+    x, y = F.floor(F.col("pos1") / side), F.floor(F.col("pos2") / side)
+    right, above = F.col("pos1") - x * side >= side - max_mismatch, F.col("pos2") - y * side >= side - max_mismatch
+    group = F.hash(*keys)  # keys with one hash are taken for one here
+    at = lambda i, j: F.struct((x + i).alias("x"), (y + j).alias("y"), F.lit(1 << i + 2 * j).alias("origin"))
+    told = F.when(right | above, F.array(at(0, 0), F.when(right, at(1, 0)), F.when(above, at(0, 1)), F.when(right & above, at(1, 1)))).otherwise(F.array(at(0, 0)))
+    cells = df.where(placed).select(group.alias("g"), F.explode(told).alias("t")).where("t is not null").groupBy("g", "t.x", "t.y").agg(F.count("*").alias("n"), F.bit_or("t.origin").alias("origins")).where("n > 1")
+    home = lambda i, j: F.when(F.col("origins").bitwiseAND(F.lit(1 << i + 2 * j)) != 0, F.xxhash64("g", F.col("x") - i, F.col("y") - j))
+    cells = cut(cells.select(F.explode(F.array(*[home(i, j) for i in (0, 1) for j in (0, 1)])).alias("h")).where("h is not null"))
+    bits = min(max(1 << (16 * cells.count()).bit_length(), 1 << 10), BITS)
+    words = cells.select(F.col("h").bitwiseAND(F.lit(bits - 1)).alias("b")).groupBy(F.expr("shiftright(b, 6)").alias("word_")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("bits_"))
+    asked = df.withColumn("b_", F.when(placed, F.xxhash64(group, x, y).bitwiseAND(F.lit(bits - 1)))).withColumn("word_", F.expr("shiftright(b_, 6)"))
+    found = asked.join(F.broadcast(cut(words)), "word_", "left").withColumn("crowded_", F.expr("coalesce(shiftright(bits_, cast(b_ & 63 as int)) & 1 = 1, false)"))
+    return found.drop("b_", "word_", "bits_")
+
+
 def neighbours(spots: DataFrame, keys: Sequence[str], max_mismatch: int) -> DataFrame:
     """spots(keys, pos1, pos2, copies) + near, which holds for every spot that another lies close to, and for few others. Spots at the rim of a tile come several times.
 
@@ -169,7 +195,8 @@ def deduplicate(
     keys = match_keys(extra)
     spot = [*keys, "pos1", "pos2"]
     placed = F.coalesce((F.col("chrom1") != marker) & (F.col("chrom2") != marker) & F.col("pos1").isNotNull() & F.col("pos2").isNotNull(), F.lit(False))
-    rows = df.where(placed)
+    table = with_crowded(df, placed, keys, max_mismatch)
+    rows = table.where("crowded_").drop("crowded_")
     spots = rows.groupBy(*spot).agg(F.count("*").alias("copies"))
     near = neighbours(spots, keys, max_mismatch) if max_mismatch else spots.withColumn("near", F.lit(False))
     marked_ = near.where(F.col("near") | (F.col("copies") > HOT)).groupBy(*spot).agg(F.max("copies").alias("copies"), F.max("near").alias("near"))
@@ -198,7 +225,8 @@ def deduplicate(
     out = reduce(DataFrame.unionByName, first)
     dup = ~(F.coalesce("is_head_", F.lit(True)) & (F.col("number_") == 1))
     out = out.select(*[F.col(f"`{c}`") for c in df.columns], F.when(dup, "dups").otherwise("nodups").alias("route"), F.when(dup, F.coalesce("parent_", "first_")).alias("parent_readID"))
-    return out.unionByName(df.where(~placed).withColumns({"route": F.lit("unmapped"), "parent_readID": F.lit(None).cast(df.schema[key].dataType)}))
+    others = table.where("not crowded_").withColumn("route", F.when(placed, "nodups").otherwise("unmapped"))
+    return out.unionByName(others.drop("crowded_").withColumn("parent_readID", F.lit(None).cast(df.schema[key].dataType)))
 
 
 def marked(df: DataFrame, sam: bool = False) -> DataFrame:

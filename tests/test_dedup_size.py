@@ -47,3 +47,25 @@ def test_limits_change_no_result(spark, monkeypatch, rule):
     exact = routed(df, max_mismatch=0)
     monkeypatch.setattr(dedup, "HOT", 1_000_000)
     assert routed(df, max_mismatch=0) == exact
+
+
+def test_rows_alone_are_not_shuffled(spark):
+    rng = random.Random(8)
+    far = [("f%d" % i, "chr1", 1000 * i, "chr2", 500 * i, "+", "+", "UU", 0) for i in range(4000)]
+    near = [("n%d" % i, "chr1", p, "chr2", q, "+", "+", "UU", 0) for i, (p, q) in enumerate([(15, 31), (16, 32), (31, 16), (32, 15), (-1, 300), (0, 300), (-500, 7), (-500, 7), (2**40, 9), (2**40 + 3, 12)])]
+    rows = [*far, *near, ("u", "!", 0, "chr2", 5, "-", "+", "NU", 0), ("x", "chr1", None, "chr2", 5, "+", "+", "UU", 0), ("y", "chr1", 15, "chr2", 31, None, "+", "UU", 0)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    placed = (dedup.F.col("chrom1") != "!") & dedup.F.col("pos1").isNotNull()
+    found = {r.readID for r in dedup.with_crowded(df, placed, dedup.match_keys(), 3).where("crowded_").collect()}
+    assert {r[0] for r in near} <= found and len(found) < 500 and not found & {"u", "x"}
+    routes = {r.readID: (r.route, r.parent_readID) for r in dedup.deduplicate(df).collect()}
+    assert len(routes) == len(rows) and {k for k, v in routes.items() if v[0] == "unmapped"} == {"u", "x"}
+    assert sorted(k for k, v in routes.items() if v[0] == "dups") == ["n1", "n3", "n5", "n7", "n9"] and routes["n3"][1] == "n2"
+
+
+def test_a_full_table_of_bits_changes_no_result(spark, monkeypatch):
+    df = table(spark, 5, 150, 12, 7).unionByName(table(spark, 6, 60, 4000, 9)).repartition(4)
+    expected, exact = routed(df), routed(df, max_mismatch=0)
+    monkeypatch.setattr(dedup, "BITS", 64)
+    assert routed(df) == expected and routed(df, max_mismatch=0) == exact
