@@ -1,13 +1,16 @@
 """From alignment records to pairs.
 
-Records become typed alignments by built-in functions (CIGAR sums, ends, uniqueness, mismatches). Records of one
+Records become typed alignments by built-in functions (uniqueness, tags, mismatches). Records of one
 name form a molecule (dealt out by name and sorted once, so they need not be neighbours). Sorted rows go as Arrow batches through
-the walk rules, which work on whole arrays; only columns that are asked for are sent.
+the walk rules, which work on whole arrays; only columns that are asked for are sent. There a batch's different CIGARs are
+measured once each, and ends and the order on the read follow from that.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,6 +34,46 @@ NUMBERS = {"mapq", "pos5", "pos3", "read_len", "matched_bp", "algn_ref_span", "a
 PLACES = {"pos5": "pos5", "pos3": "pos3", "read_side": "side", "algn_idx": "idx", "same_side_algn_count": "count"}
 
 
+METRICS = ("matched_bp", "algn_ref_span", "algn_read_span", "read_len", "clip5_ref", "clip3_ref", "query_start")
+
+
+@lru_cache(maxsize=1 << 15)
+def cigar_numbers(cigar: str) -> tuple[int, ...]:
+    """METRICS of one CIGAR, as cigar_metrics tells them."""
+    matched = ref = read = length = clip5 = clip3 = start = 0
+    for k, op in re.findall(r"([0-9]+)([MIDNSHP=X])", cigar):
+        k = int(k)
+        if op == "M":
+            matched, ref, read, length = matched + k, ref + k, read + k, length + k
+        elif op == "D":
+            ref += k
+        elif op == "I":
+            read, length = read + k, length + k
+        elif op in "SH":
+            if op == "S" and read == 0:
+                start += k
+            if matched == 0:
+                clip5 = k
+            else:
+                clip3 = k
+            length += k
+    return matched, ref, read, length, clip5, clip3, start
+
+
+def measured(rows: pa.Table) -> dict[str, np.ndarray]:
+    """METRICS, both ends and their distances, and truths of rows(cigar, pos, turned, is_mapped, is_unique), as alignments tells them."""
+    codes = pc.dictionary_encode(pc.fill_null(rows["cigar"].combine_chunks(), "*"))
+    codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+    each = np.array([cigar_numbers(c) for c in codes.dictionary.to_pylist()], np.int64).reshape(-1, len(METRICS))[codes.indices.to_numpy()]
+    out = {c: each[:, i] for i, c in enumerate(METRICS)}
+    mapped, unique, turned = (pc.fill_null(rows[c], False).to_numpy().astype(bool) for c in ("is_mapped", "is_unique", "turned"))
+    first = pc.fill_null(rows["pos"], 0).to_numpy().astype(np.int64)
+    last = first - 1 + out["algn_ref_span"]
+    either = lambda truth, a, b: np.where(truth, np.where(turned, b, a), 0)
+    out |= {"pos5": either(unique, first, last), "pos3": either(unique, last, first), "dist_to_5": either(mapped, out["clip5_ref"], out["clip3_ref"]), "dist_to_3": either(mapped, out["clip3_ref"], out["clip5_ref"])}
+    return out | {"is_mapped": mapped, "is_unique": unique, "minus": ~unique | turned}
+
+
 def cigar_metrics(cigar: Column) -> Column:
     """struct<matched_bp, algn_ref_span, algn_read_span, read_len, clip5_ref, clip3_ref, query_start>.
 
@@ -62,8 +105,6 @@ def cigar_metrics(cigar: Column) -> Column:
 
 def _mismatches(cigar: pd.Series, seq: pd.Series, qual: pd.Series, md: pd.Series, pos: pd.Series) -> pd.Series:
     """ref:read:phred:reference position:read position of every mismatch, from the MD tag; positions from 0."""
-    import re
-
     out = []
     for c, s, q, m, start in zip(cigar, seq, qual, md, pos, strict=True):
         if not m or not s or s == "*":
@@ -89,10 +130,10 @@ def _mismatches(cigar: pd.Series, seq: pd.Series, qual: pd.Series, md: pd.Series
     return pd.Series(out)
 
 
-def alignments(records: DataFrame, min_mapq: int = 1, tags: Sequence[str] = (), store_seq: bool = False, mismatches: bool = False, readid: Column | str | None = None) -> DataFrame:
-    """records -> (readID, side, algn): typed alignments. readid: what becomes of a name, as a column or an expression in readID."""
+def alignments(records: DataFrame, min_mapq: int = 1, tags: Sequence[str] = (), store_seq: bool = False, mismatches: bool = False, readid: Column | str | None = None, sums: bool = True) -> DataFrame:
+    """records -> (readID, side, algn, pos, turned): typed alignments; pos and turned are the record's. sums: False leaves what a CIGAR tells to measured. readid: what becomes of a name, as a column or an expression in readID."""
     flag = lambda bit: F.col("flag").bitwiseAND(F.lit(bit)) != 0
-    t = records.withColumn("m", cigar_metrics(F.coalesce("cigar", F.lit("*"))))
+    t = records.withColumn("m", cigar_metrics(F.coalesce("cigar", F.lit("*"))) if sums else F.lit(None).cast("struct<" + ",".join(f"{c}:int" for c in METRICS) + ">"))
     mapped = ~flag(4)
     unique = mapped & (F.col("mapq") >= min_mapq)
     minus = flag(16)
@@ -135,7 +176,7 @@ def alignments(records: DataFrame, min_mapq: int = 1, tags: Sequence[str] = (),
         t, name = renamed, compile_value(readid, ["readID"])
     else:
         name = F.col("qname") if readid is None else readid
-    return t.select(name.alias("readID"), F.when(flag(0x40), 1).otherwise(2).alias("side"), algn.alias("algn"))
+    return t.select(name.alias("readID"), F.when(flag(0x40), 1).otherwise(2).alias("side"), algn.alias("algn"), "pos", minus.alias("turned"))
 
 
 def grouped(algns: DataFrame) -> DataFrame:
@@ -219,25 +260,30 @@ def parse(
         raise ValueError(f"unknown columns: {tags}")
     if mode not in ("parse", "parse2"):
         raise ValueError("mode must be parse or parse2")
-    algns = alignments(records, min_mapq, tags, "seq" in add_columns, "mismatches" in add_columns, readid)
+    algns = alignments(records, min_mapq, tags, "seq" in add_columns, "mismatches" in add_columns, readid, sums=False)
     ranks = {c: i for i, c in enumerate(chroms)}
     schema = _output_type(drop_sam, add_columns, add_pair_index)
     end = "pos5" if report_alignment_end == "5" else "pos3"
-    shipped = {c: F.col(f"algn.{c}") for c in ("dist_to_5", "dist_to_3", "algn_read_span", "read_len", "pos5", "pos3", "chrom", "is_mapped", "is_unique")}
-    shipped |= {"minus": F.col("algn.strand") == "-"} | {c: F.col(f"algn.{c}") for c in add_columns if c in COLUMNS and c not in PLACES and c not in shipped}
+    own = [c for c in add_columns if c in METRICS]
+    shipped = {c: F.col(f"algn.{c}") for c in ("chrom", "cigar", "is_mapped", "is_unique")} | {c: F.col(c) for c in ("pos", "turned")}
+    shipped |= {c: F.col(f"algn.{c}") for c in add_columns if c in COLUMNS and c not in PLACES and c not in METRICS and not c.startswith("dist_to_")}
     shipped |= {f"tag_{t}": F.coalesce(F.try_element_at(F.col("algn.tags"), F.lit(t)), F.lit("")) for t in tags} | ({} if drop_sam else {"record": F.col("algn.record")})
+    carried = [c for c in shipped if c not in ("pos", "turned", "is_mapped", "is_unique") and (c != "cigar" or c in add_columns)]
     names = [c.strip("`") for c in (x.rsplit(" ", 1)[0] for x in schema.split(", "))]
 
     def pairs(rows: pa.Table) -> pa.RecordBatch:
         given = {c: rows[c].combine_chunks() if isinstance(rows[c], pa.ChunkedArray) else rows[c] for c in rows.column_names}
         first = np.concatenate([[0], pc.run_end_encode(given["readID"]).run_ends.to_numpy()]).astype(np.int64)
-        side = given["side"].to_numpy()
+        side, told = given["side"].to_numpy(), measured(rows)
+        molecule = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        by = np.lexsort((told["query_start"], told["dist_to_5"], side, molecule))  # stable: ties stay in the order of the file
+        side, told = side[by], {c: x[by] for c, x in told.items()}
+        given |= {c: given[c].take(pa.array(by)) for c in carried}
         n = [np.add.reduceat((side == i).astype(np.int64), first[:-1]) for i in (1, 2)]
         code = pc.dictionary_encode(given["chrom"])
         found = code.dictionary.to_pylist()
         known = {c: i for i, c in enumerate(["!", *[c for c in found if c != "!"]])}
-        core = {c: pc.fill_null(given[c], False if pa.types.is_boolean(given[c].type) else 0).to_numpy(zero_copy_only=False) for c in (*walk_batches.CORE, "dist_to_3") if c != "chrom"}
-        core = {c: x if x.dtype == bool else x.astype(np.int64) for c, x in core.items()}
+        core = {c: told[c] for c in (*walk_batches.CORE, "dist_to_3", *own) if c != "chrom"}
         core["chrom"] = np.array([known[c] for c in found], np.int64)[code.indices.to_numpy()]
         p = walk_batches.pool(core)
         of_side = [np.flatnonzero(side == i) for i in (1, 2)]
@@ -284,9 +330,9 @@ def parse(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return map(pairs, _molecules(batches))
 
-    flat = algns.select("readID", "side", *[x.alias(c) for c, x in shipped.items()], F.col("algn.query_start").alias("query_start"), F.col("algn.n").alias("n"))
-    ordered = flat.repartition("readID").sortWithinPartitions("readID", "side", "dist_to_5", "query_start", "n")
-    return ordered.drop("query_start", "n").mapInArrow(run, schema)
+    flat = algns.select("readID", "side", *[x.alias(c) for c, x in shipped.items()], F.col("algn.n").alias("n"))
+    ordered = flat.repartition("readID").sortWithinPartitions("readID", "side", "n")
+    return ordered.drop("n").mapInArrow(run, schema)
 
 
 def parsed_alignments(records: DataFrame, min_mapq: int = 1) -> DataFrame:

@@ -163,3 +163,21 @@ def test_fast_path_equals_the_walk_logic(records, monkeypatch):
 def test_parsed_alignments(records):
     lines = {(r.readID, r.side): r.line for r in M.parsed_alignments(records).collect()}
     assert lines[("a", 1)] == "a\t1\tchr1\t10\t+\t60\t5S20M\t5\t25\t20" and lines[("d", 2)] == "d\t2\t"
+
+
+def test_cigars_are_measured_once_each_and_outside_the_plan(spark):
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    texts = ["*", None, "", "10S40M", "5H5S40M3S2H", "3S2I4M1D2S", "20M2D10M3I17M", "M10", "4=3X", *["".join(f"{rng.randint(0, 99)}{rng.choice('MIDNSHP=X')}" for _ in range(rng.randint(1, 7))) for _ in range(300)]]
+    rows = [("r%d" % (i // 3), rng.choice((64, 128)) + 4 * (rng.random() < 0.2) + 16 * (rng.random() < 0.5), "chr1", rng.randint(1, 99), rng.randint(0, 3), c, "*", "*", [], ("", 0, i), "x") for i, c in enumerate(texts)]
+    df = spark.createDataFrame(rows, "qname string, flag int, rname string, pos long, mapq int, cigar string, seq string, qual string, tags array<string>, place struct<file:string,start:long,n:long>, record string")
+    flat = M.alignments(df).select("algn.*", "pos", "turned").toArrow()
+    flat = flat.set_column(flat.column_names.index("strand"), "minus", pa.array([x == "-" for x in flat["strand"].to_pylist()]))
+    told = M.measured(flat)
+    for c in told:
+        assert np.array_equal(told[c], flat[c].to_numpy()), c
+    assert "aggregate(" not in M.parse(df, ["chr1"], drop_sam=True)._jdf.queryExecution().executedPlan().toString()
